@@ -1,6 +1,6 @@
 """From a rule's value to its outcome: exit conditions, bands, cases, configuration checks.
 
-A value falls in the first band with ``lower <= value < upper``; a missing limit is open. An exit outranks the band.
+A value, rounded to 6 decimals (ours: statistics are doubles), falls in the first band with ``lower <= value < upper``; a missing limit is open. An exit outranks the band.
 Anything else is ``.err``. Evidence: limits and texts are configuration; the band reading is half-open because
 neighbouring bands share a limit.
 """
@@ -73,44 +73,52 @@ def reasons(doc: Mapping) -> dict[str, str]:
     return out
 
 
-def reason_of(doc: Mapping, ref: Column, error: Column | None = None) -> Column:
-    out = F.lit(None).cast("string")
-    for key, text in reasons(doc).items():
-        out = F.when(ref == key, F.lit(text)).otherwise(out)
-    return out if error is None else F.when(ref == ERR, F.coalesce(error, out)).otherwise(out)
+def outcome(doc: Mapping, value: Column, leaves: Column | None = None, error: Column | None = None) -> tuple:
+    """One rule's raw answer for one event: its value and, if the history calls for them, an exit or a data error."""
+    cased = bool(doc["config"].get("cases"))
+    text = F.lit(None).cast("string")
+    return doc, F.struct(
+        F.lit(doc["id"].split("@")[0]).alias("rule_id"), F.lit(doc["cfg"]).alias("cfg"),
+        (F.lit(None).cast("double") if cased else value.cast("double")).alias("_number"),
+        (value.cast("string") if cased else text).alias("_case"),
+        (text if leaves is None else leaves.cast("string")).alias("_exit"),
+        (text if error is None else error.cast("string")).alias("_error"))
+
+
+def _decide(doc: Mapping) -> tuple[Column, Column, Column]:
+    """(exit or null, error or null, reference) of one rule from its raw answer and the event's ``ok``."""
+    refs, config, ok = exit_refs(doc), doc["config"], F.col("ok")
+    leaves, error = F.col("_exit"), F.col("_error")
+    held = [r for r in refs if r != ".x00"]
+    lacking = F.when(leaves == ".x01", F.lit(NO_X01)).otherwise(F.lit(UNHANDLED))
+    error = F.coalesce(error, F.when(leaves.isNotNull() & ~leaves.isin(held) if held else leaves.isNotNull(), lacking))
+    leaves = F.when(error.isNull(), leaves)
+    if ".x00" in refs:
+        leaves, error = F.when(~ok, F.lit(".x00")).otherwise(leaves), F.when(ok, error)
+    band = (determine_outcome_case(F.col("_case"), config["cases"]) if config.get("cases")
+            else determine_outcome_band(F.round("_number", 6), config["bands"]))
+    return leaves, error, F.when(error.isNotNull(), F.lit(ERR)).otherwise(F.coalesce(leaves, band, F.lit(ERR)))
 
 
-def outcome(doc: Mapping, ok: Column, value: Column, leaves: Column | None = None,
-            error: Column | None = None) -> Column:
-    """Struct (rule_id, cfg, value, sub_rule_ref, reason) of one rule for one event.
+def results(wide: DataFrame, answers: list[tuple]) -> DataFrame:
+    """One row per event and rule (tenant_id, e2e, rule_id, cfg, value, sub_rule_ref, reason); narrow, no shuffle.
 
-    ``leaves`` names the exit the history calls for (``.x01`` ...), ``error`` a data error; both may be null.
-    An exit that the configuration does not hold becomes ``.err`` with the matching message.
+    Answers are unfolded first and decided afterwards, so each decision reads columns instead of repeating the
+    statistic's expression in every branch.
     """
-    refs = exit_refs(doc)
-    config = doc["config"]
-    band = (determine_outcome_case(value, config["cases"]) if config.get("cases")
-            else determine_outcome_band(value, config["bands"]))
-    error = F.lit(None).cast("string") if error is None else error
-    leaves = F.lit(None).cast("string") if leaves is None else leaves
-    if ".x00" in refs:
-        leaves = F.when(~ok, F.lit(".x00")).otherwise(F.when(error.isNull(), leaves))
-        error = F.when(ok, error)
-    else:
-        leaves = F.when(error.isNull(), leaves)
-    missing = {".x00": NO_X00, ".x01": NO_X01}
-    for ref in (".x00", ".x01", ".x03", ".x04"):
-        if ref not in refs:
-            text = missing.get(ref, UNHANDLED)
-            error = F.coalesce(error, F.when(leaves == ref, F.lit(text)))
-            leaves = F.when(leaves == ref, F.lit(None).cast("string")).otherwise(leaves)
-    ref = F.when(error.isNotNull(), F.lit(ERR)).otherwise(F.coalesce(leaves, band, F.lit(ERR)))
-    number = F.lit(None).cast("double") if config.get("cases") else F.round(value.cast("double"), 6)
-    shown = F.when(leaves.isNull() & error.isNull(), number)
-    return F.struct(F.lit(doc["id"].split("@")[0]).alias("rule_id"), F.lit(doc["cfg"]).alias("cfg"),
-                    shown.alias("value"), ref.alias("sub_rule_ref"), reason_of(doc, ref, error).alias("reason"))
-
-
-def results(wide: DataFrame, outcomes: list[Column]) -> DataFrame:
-    """One row per event and rule from per-event outcome structs; narrow, no shuffle."""
-    return wide.select("tenant_id", "e2e", F.inline(F.array(*outcomes)))
+    raw = wide.select("tenant_id", "e2e", "ok", F.inline(F.array(*[a for _, a in answers])))
+    picks = {"_leaves": None, "_fault": None, "sub_rule_ref": None}
+    for doc, _ in answers:
+        mine = F.col("rule_id") == doc["id"].split("@")[0]
+        for name, column in zip(picks, _decide(doc)):
+            picks[name] = F.when(mine, column) if picks[name] is None else picks[name].when(mine, column)
+    decided = raw.select("*", *[c.alias(n) for n, c in picks.items()])
+    text = None
+    for doc, _ in answers:
+        mine = F.col("rule_id") == doc["id"].split("@")[0]
+        lookup = F.create_map(*[F.lit(x) for pair in reasons(doc).items() for x in pair])[F.col("sub_rule_ref")]
+        text = F.when(mine, lookup) if text is None else text.when(mine, lookup)
+    plain = F.col("_leaves").isNull() & F.col("_fault").isNull()
+    return decided.select("tenant_id", "e2e", "rule_id", "cfg",
+                          F.when(plain, F.round("_number", 6)).alias("value"), "sub_rule_ref",
+                          F.coalesce("_fault", text).alias("reason"))

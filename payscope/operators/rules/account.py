@@ -63,8 +63,6 @@ def _measures(docs: Mapping[str, dict]) -> dict[str, tuple[Measure, Column | Non
             add("z_n", Measure("z_n", here=True), one)
             add("z_sum", Measure("z_sum", here=True), F.when(ok, amt.cast("decimal(28,2)")))
             add("z_sq", Measure("z_sq", here=True), F.when(ok, (amt * amt).cast("decimal(38,4)")))
-            add("z_lo", Measure("z_lo", "min"), F.when(ok, amt))
-            add("z_hi", Measure("z_hi", "max"), F.when(ok, amt))
         elif rule in _BENFORD:
             for d in range(1, 10):
                 add(f"d{d}", Measure(f"d{d}"), F.when(ok & (leading_digit(amt) == d), F.lit(1).cast("bigint")))
@@ -96,14 +94,21 @@ def _bins(pay: DataFrame, acct: str, interval: int) -> DataFrame:
     earlier = (Window.partitionBy("tenant_id", "acct").orderBy("bin")
                .rowsBetween(Window.unboundedPreceding, -1))
     return counts.select("tenant_id", "acct", "bin", F.sum("n").over(earlier).alias("bin_sum"),
-                         F.sum(F.col("n") * F.col("n")).over(earlier).alias("bin_sq"),
+                         F.sum(F.col("n").cast("decimal(15,0)") * F.col("n").cast("decimal(15,0)"))
+                         .over(earlier).alias("bin_sq"),
                          F.min(F.when(F.col("n") > 0, F.col("bin"))).over(earlier).alias("bin_first"))
 
 
-def _spread(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
-    """Mean and population standard deviation from exact sums."""
+def _spread(n: Column, total: Column, squares: Column) -> tuple[Column, Column, Column]:
+    """Mean, population standard deviation and whether all values are equal, from exact sums.
+
+    n·Σx² − (Σx)² is formed in decimals, so nothing cancels; only sums beyond their range fall back to doubles.
+    """
+    exact = (n.try_cast("decimal(12,0)") * squares.try_cast("decimal(26,4)")
+             - total.try_cast("decimal(19,2)") * total.try_cast("decimal(19,2)"))
     n, s, q = n.cast("double"), total.cast("double"), squares.cast("double")
-    return s / n, F.sqrt(F.greatest(n * q - s * s, F.lit(0.0))) / n
+    scatter = F.coalesce(exact.cast("double"), F.greatest(n * q - s * s, F.lit(0.0)))
+    return s / n, F.sqrt(scatter) / n, scatter == 0
 
 
 def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
@@ -130,10 +135,9 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
     if rule in _DISTINCT:
         return F.col(f"m_{rule}"), None
     if rule in _ZSCORE:
-        n = F.col("z_n") - F.col("z_n_here")
-        mean, sd = _spread(n, F.col("z_sum") - F.col("z_sum_here"), F.col("z_sq") - F.col("z_sq_here"))
-        flat = F.col("z_lo") == F.col("z_hi")
-        leaves = (F.when(n < 1, ".x01").when(flat & (F.col("amt") > F.col("z_hi")), ".x03").when(flat, ".x04"))
+        n, total = F.col("z_n") - F.col("z_n_here"), F.col("z_sum") - F.col("z_sum_here")
+        mean, sd, flat = _spread(n, total, F.col("z_sq") - F.col("z_sq_here"))
+        leaves = F.when(n < 1, ".x01").when(flat & (F.col("amt") * n > total), ".x03").when(flat, ".x04")
         return F.when((n > 0) & ~flat, (F.col("amt").cast("double") - mean) / sd), leaves
     if rule in _BENFORD:
         counts = [F.col(f"d{d}") for d in range(1, 10)]
@@ -146,8 +150,7 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
         return F.when(enough, chi), F.when(~enough, ".x01")
     bins = F.col("bin") - F.col("bin_first")
     now = F.col("n_all") - F.coalesce(F.col("bin_sum"), F.lit(0))
-    mean, sd = _spread(bins, F.col("bin_sum"), F.col("bin_sq"))
-    flat = bins * F.col("bin_sq") == F.col("bin_sum") * F.col("bin_sum")
+    mean, sd, flat = _spread(bins, F.col("bin_sum"), F.col("bin_sq"))
     short = F.coalesce(bins < 2, F.lit(True))
     leaves = F.when(short, ".x01").when(flat & (now * bins > F.col("bin_sum")), ".x03").when(flat, ".x04")
     return F.when(~short & ~flat, (now - mean) / sd), leaves
@@ -173,7 +176,7 @@ def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) ->
         interval = docs[volume[0]]["config"]["parameters"]["evaluationIntervalTime"]
         wide = (wide.withColumn("bin", F.floor(F.col("t_ms") / interval).cast("bigint"))
                 .join(_bins(pay, own, interval), ["tenant_id", "acct", "bin"]))
-    return results(wide, [outcome(doc, F.col("ok"), *_rule_columns(rule, doc)) for rule, doc in docs.items()])
+    return results(wide, [outcome(doc, *_rule_columns(rule, doc)) for rule, doc in docs.items()])
 
 
 def debtor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
@@ -187,7 +190,7 @@ def creditor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
 def pair(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     """Rule 030: settled payments so far between this debtor and this creditor account."""
     wide = pay.join(pair_scan(pay).drop("pair_prev"), ["tenant_id", "dbtr_acct", "cdtr_acct", "t_ms"])
-    return results(wide, [outcome(docs["030"], F.col("ok"), F.col("pair_n"))])
+    return results(wide, [outcome(docs["030"], F.col("pair_n"))])
 
 
 def row_local(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
@@ -197,7 +200,7 @@ def row_local(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     month_day = lambda c: F.month(c) * 100 + F.dayofmonth(c)
     age = F.year(day) - F.year(birth) - (month_day(day) < month_day(birth)).cast("int")
     values = {"028": age, "078": F.col("tx_kind"), "091": F.col("amt")}
-    return results(pay, [outcome(doc, F.col("ok"), values[rule]) for rule, doc in docs.items()])
+    return results(pay, [outcome(doc, values[rule]) for rule, doc in docs.items()])
 
 
 def holders(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
@@ -211,7 +214,7 @@ def holders(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     for rule in docs:
         wide = wide.join(held.select("tenant_id", F.col("entity").alias(sides[rule]),
                                      F.col("held").alias(f"held_{rule}")), ["tenant_id", sides[rule]], "left")
-    return results(wide, [outcome(doc, F.col("ok"), F.col(f"held_{rule}")) for rule, doc in docs.items()])
+    return results(wide, [outcome(doc, F.col(f"held_{rule}")) for rule, doc in docs.items()])
 
 
 def checked(docs: Mapping[str, dict]) -> Mapping[str, dict]:

@@ -47,7 +47,7 @@ def last_n(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
         else:
             near = lambda i: i["cdtr_acct"] == F.col("cdtr_acct")
         value = F.size(F.filter(items, near)) + 1
-        outs.append(outcome(doc, F.col("ok"), F.when(F.size("recent") > 0, value),
+        outs.append(outcome(doc, F.when(F.size("recent") > 0, value),
                             F.when(F.coalesce(F.size("recent"), F.lit(0)) < 1, ".x01")))
     return results(wide, outs)
 
@@ -62,7 +62,7 @@ def largest(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     wide = pay.join(tops, ["tenant_id", "dbtr_acct", "t_ms"])
     some = F.coalesce(F.col("top") > 0, F.lit(False))
     value = F.when(some, F.col("amt").cast("double") / F.col("top").cast("double"))
-    return results(wide, [outcome(doc, F.col("ok"), value, F.when(~some, ".x01"))])
+    return results(wide, [outcome(doc, value, F.when(~some, ".x01"))])
 
 
 def _amount_cells(low: Column, high: Column) -> Column:
@@ -148,7 +148,7 @@ def similar_amounts(pay: DataFrame, docs: Mapping[str, dict], hot: int = HOT_LIS
     found = short.dropDuplicates([*keys, "t_ms"]).unionByName(long)
     wide = pay.withColumnRenamed("cdtr_acct", "acct").join(found, [*keys, "t_ms"], "left")
     error = F.when(F.col("n").isNull(), F.lit(NO_HISTORY))
-    return results(wide, [outcome(doc, F.col("ok"), F.when(F.col("n") > 1, F.col("similar")),
+    return results(wide, [outcome(doc, F.when(F.col("n") > 1, F.col("similar")),
                                   F.when(F.col("n") <= 1, ".x01"), error)])
 
 
@@ -222,7 +222,7 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
     for rule, doc in docs.items():
         value = F.col(f"v_{rule}")
         leaves = F.when(F.coalesce(F.col("n_in"), F.lit(0)) < 1, ".x01").when(value.isNull(), ".x03")
-        outs.append(outcome(doc, F.col("ok"), value, leaves))
+        outs.append(outcome(doc, value, leaves))
     return results(wide, outs)
 
 

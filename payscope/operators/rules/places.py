@@ -64,4 +64,4 @@ def habitual(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     history = scan(pay.select(*keys, "t_ms", F.lit(True).alias("real"), one.alias("n")), keys, "t_ms",
                    [Measure("n", here=True)]).select(*keys, "t_ms", (F.col("n") - F.col("n_here")).alias("prior"))
     wide = at.join(near, [*keys, "lat", "lon", "t_ms"], "left").join(history, [*keys, "t_ms"])
-    return results(wide, [outcome(doc, F.col("ok"), F.col("near"), F.when(F.col("prior") < 1, ".x01"))])
+    return results(wide, [outcome(doc, F.col("near"), F.when(F.col("prior") < 1, ".x01"))])

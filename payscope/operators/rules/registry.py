@@ -38,7 +38,7 @@ def register_rule(rule: str, value: Callable[[DataFrame, dict], DataFrame]) -> N
     def family(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
         doc = docs[rule]
         wide = pay.join(value(pay, doc).select("tenant_id", "e2e", "value"), ["tenant_id", "e2e"], "left")
-        return results(wide, [outcome(doc, F.col("ok"), F.col("value"))])
+        return results(wide, [outcome(doc, F.col("value"))])
     _PLUGINS[rule] = family
 
 

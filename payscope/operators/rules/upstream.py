@@ -61,4 +61,4 @@ def divergence(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
                       F.lit(None).cast("bigint").alias("payees"))
     line = scan(rows, ["tenant_id", "acct"], "t_ms", [Measure("payees")], deltas=changes)
     wide = pay.withColumnRenamed("dbtr_acct", "acct").join(line, ["tenant_id", "acct", "t_ms"])
-    return results(wide, [outcome(doc, F.col("ok"), F.col("payees"))])
+    return results(wide, [outcome(doc, F.col("payees"))])
