@@ -36,7 +36,10 @@ def doc_search(docs: DataFrame, doc: str, text: str, terms: Sequence[str], k: in
     """Top ``k`` documents by BM25; only the query's terms leave the scan."""
     sized = docs.select(F.col(doc).alias("doc_id"), F.regexp_extract_all(F.lower(text), F.lit(WORD), 0).alias("words"))
     wanted = sorted(set(terms))
-    counts = [F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf_{i}") for i, t in enumerate(wanted)]
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter("words", lambda w: w == term))
+
+    counts = [occurrences(t).alias(f"tf_{i}") for i, t in enumerate(wanted)]
     sized = sized.select("doc_id", F.size("words").alias("len"), *counts)
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
                       *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"df_{i}") for i in range(len(wanted))])

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.timeline import Measure, scan
+
 DAY_MS, MINUTE_MS = 86_400_000, 60_000
 
 
@@ -137,3 +139,26 @@ def transaction_graph(pay: DataFrame) -> DataFrame:
     joined = side("dbtr_acct", "out").join(side("cdtr_acct", "in"), ["tenant_id", "account"], "full_outer")
     filled = joined.na.fill(0)
     return filled.withColumn("flow_net", F.round(F.col("flow_in") - F.col("flow_out"), 2))
+
+
+def alert_history(pay: DataFrame, status: DataFrame) -> DataFrame:
+    """Alerted payments per debtor account in time order with the account's alerts so far."""
+    alerts = (pay.select("tenant_id", "e2e", "t_ms", F.col("dbtr_acct").alias("account"))
+              .join(status.where(F.col("status") == "ALRT").select("tenant_id", "e2e"), ["tenant_id", "e2e"]))
+    rows = alerts.select("tenant_id", "account", "t_ms", F.lit(True).alias("real"), F.lit(1).cast("bigint").alias("alerts_so_far"))
+    return alerts.join(scan(rows, ["tenant_id", "account"], "t_ms", [Measure("alerts_so_far")]),
+                       ["tenant_id", "account", "t_ms"])
+
+
+def conditions_timeline(edges: DataFrame) -> DataFrame:
+    """Condition starts and ends per tenant and subject type with the number then in force."""
+    def step(at, started, ended):
+        return F.struct(at.alias("t_ms"), F.lit(started).cast("bigint").alias("started"),
+                        F.lit(ended).cast("bigint").alias("ended"))
+    steps = (edges.select("tenant_id", "subject_type", F.inline(F.array(
+        step(F.col("incptn_ms"), 1, 0), step(F.col("xprtn_ms"), 0, 1)))).where("t_ms is not null")
+        .withColumns({"real": F.lit(True), "in_force": F.col("started") - F.col("ended")}))
+    line = scan(steps, ["tenant_id", "subject_type"], "t_ms",
+                [Measure("in_force"), Measure("started", here=True), Measure("ended", here=True)])
+    return line.select("tenant_id", "subject_type", "t_ms", F.col("started_here").alias("started"),
+                       F.col("ended_here").alias("ended"), "in_force")

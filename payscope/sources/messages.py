@@ -57,8 +57,25 @@ def extract(documents: DataFrame, tx_tp: str, keep: Sequence[str] = ()) -> DataF
     schema, paths = LAYOUT[tx_tp]
     parsed = documents.withColumn("_doc", F.from_json("document", f"{schema}, _bad STRING",
                                                       {"columnNameOfCorruptRecord": "_bad"}))
-    return parsed.select(*keep, "document", *[_path("_doc", p).alias(c) for c, p in paths.items()],
-                         (F.col("_doc").isNull() | F.col("_doc._bad").isNotNull()).alias("malformed"))
+    bad = F.col("_doc").isNull() | F.col("_doc._bad").isNotNull()
+    return parsed.select(*keep, "document", *[F.when(~bad, _path("_doc", p)).alias(c) for c, p in paths.items()],
+                         bad.alias("malformed"))
+
+
+# Flat documents, {column: (key, type)}.
+TRANSACTION_FIELDS = {"end_to_end_id": ("EndToEndId", "string"), "amt": ("Amt", "decimal(18,2)"),
+                      "ccy": ("Ccy", "string"), "msg_id": ("MsgId", "string"), "cre_dt_tm": ("CreDtTm", "string"),
+                      "tx_tp": ("TxTp", "string"), "tx_sts": ("TxSts", "string"), "tenant_id": ("TenantId", "string")}
+CONDITION_FIELDS = {"cond_id": ("condId", "string"), "tenant_id": ("tenantId", "string"),
+                    "cre_dt_tm": ("creDtTm", "string"), "upd_dt_tm": ("updDtTm", "string")}
+
+
+def extract_flat(documents: DataFrame, column: str, fields: Mapping[str, tuple[str, str]],
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """Typed columns of flat documents such as transaction edges and conditions."""
+    schema = ", ".join(f"{key} {kind}" for key, kind in fields.values())
+    parsed = documents.withColumn("_doc", F.from_json(column, schema))
+    return parsed.select(*keep, *[F.col(f"_doc.{key}").alias(c) for c, (key, _) in fields.items()])
 
 
 def validate(extracted: DataFrame) -> DataFrame:
