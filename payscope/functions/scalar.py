@@ -18,8 +18,8 @@ def haversine(lat1: Column, lat2: Column, long1: Column, long2: Column) -> Colum
 
 def leading_digit(amount: Column) -> Column:
     """First significant digit of a decimal amount; null for zero."""
-    digit = F.regexp_extract(amount.cast("string"), "[1-9]", 0)
-    return F.when(digit != "", digit.cast("int"))
+    digits = F.ltrim(amount.cast("string"), F.lit("-0."))
+    return F.when(digits != "", F.substring(digits, 1, 1).cast("int"))
 
 
 def levenshtein_distance(a: Column, b: Column) -> Column:

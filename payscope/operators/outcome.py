@@ -75,50 +75,75 @@ def reasons(doc: Mapping) -> dict[str, str]:
 
 def outcome(doc: Mapping, value: Column, leaves: Column | None = None, error: Column | None = None) -> tuple:
     """One rule's raw answer for one event: its value and, if the history calls for them, an exit or a data error."""
-    cased = bool(doc["config"].get("cases"))
-    text = F.lit(None).cast("string")
-    return doc, F.struct(
-        F.lit(doc["id"].split("@")[0]).alias("rule_id"), F.lit(doc["cfg"]).alias("cfg"),
-        (F.lit(None).cast("double") if cased else value.cast("double")).alias("_number"),
-        (value.cast("string") if cased else text).alias("_case"),
-        (text if leaves is None else leaves.cast("string")).alias("_exit"),
-        (text if error is None else error.cast("string")).alias("_error"))
-
-
-def _decide(doc: Mapping) -> tuple[Column, Column, Column]:
-    """(exit or null, error or null, reference) of one rule from its raw answer and the event's ``ok``."""
-    refs, config, ok = exit_refs(doc), doc["config"], F.col("ok")
-    leaves, error = F.col("_exit"), F.col("_error")
-    held = [r for r in refs if r != ".x00"]
-    lacking = F.when(leaves == ".x01", F.lit(NO_X01)).otherwise(F.lit(UNHANDLED))
-    error = F.coalesce(error, F.when(leaves.isNotNull() & ~leaves.isin(held) if held else leaves.isNotNull(), lacking))
-    leaves = F.when(error.isNull(), leaves)
-    if ".x00" in refs:
-        leaves, error = F.when(~ok, F.lit(".x00")).otherwise(leaves), F.when(ok, error)
-    band = (determine_outcome_case(F.col("_case"), config["cases"]) if config.get("cases")
-            else determine_outcome_band(F.round("_number", 6), config["bands"]))
-    return leaves, error, F.when(error.isNotNull(), F.lit(ERR)).otherwise(F.coalesce(leaves, band, F.lit(ERR)))
+    cells = {"_exit": leaves, "_error": error}
+    if doc["config"].get("cases"):
+        cells["_case"] = value.cast("string")
+    else:
+        cells["_number"] = F.round(value.cast("double"), 6)
+    return doc, {k: c for k, c in cells.items() if c is not None}
+
+
+_CELLS = {"_number": "double", "_case": "string", "_exit": "string", "_error": "string"}
+
+
+def _per_rule(docs: list[Mapping], build, kind: str) -> Column:
+    """What ``build`` says of the current row's rule: a constant array indexed by ``_rule``."""
+    return F.get(F.array(*[F.lit(None).cast(kind) if (x := build(d)) is None else x.cast(kind) for d in docs]), F.col("_rule"))
+
+
+def _constant_map(pairs: Mapping[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair]) if pairs else None
 
 
 def results(wide: DataFrame, answers: list[tuple]) -> DataFrame:
     """One row per event and rule (tenant_id, e2e, rule_id, cfg, value, sub_rule_ref, reason); narrow, no shuffle.
 
-    Answers are unfolded first and decided afterwards, so each decision reads columns instead of repeating the
-    statistic's expression in every branch.
+    Answers are unfolded to narrow rows first and decided afterwards by looking limits and texts up in constant
+    arrays. The decision's code is then the same few expressions for any number of rules.
     """
-    raw = wide.select("tenant_id", "e2e", "ok", F.inline(F.array(*[a for _, a in answers])))
-    picks = {"_leaves": None, "_fault": None, "sub_rule_ref": None}
-    for doc, _ in answers:
-        mine = F.col("rule_id") == doc["id"].split("@")[0]
-        for name, column in zip(picks, _decide(doc)):
-            picks[name] = F.when(mine, column) if picks[name] is None else picks[name].when(mine, column)
-    decided = raw.select("*", *[c.alias(n) for n, c in picks.items()])
-    text = None
-    for doc, _ in answers:
-        mine = F.col("rule_id") == doc["id"].split("@")[0]
-        lookup = F.create_map(*[F.lit(x) for pair in reasons(doc).items() for x in pair])[F.col("sub_rule_ref")]
-        text = F.when(mine, lookup) if text is None else text.when(mine, lookup)
-    plain = F.col("_leaves").isNull() & F.col("_fault").isNull()
-    return decided.select("tenant_id", "e2e", "rule_id", "cfg",
-                          F.when(plain, F.round("_number", 6)).alias("value"), "sub_rule_ref",
-                          F.coalesce("_fault", text).alias("reason"))
+    docs = [doc for doc, _ in answers]
+    # statistics become columns of their own first, so that the code unfolding them stays small
+    flat = wide.select("tenant_id", "e2e", "ok", *[
+        c.cast(_CELLS[k]).alias(f"{k}_{i}") for i, (_, cells) in enumerate(answers) for k, c in cells.items()])
+    raw = flat.select("tenant_id", "e2e", "ok", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_rule"), *[(F.col(f"{k}_{i}") if k in cells else F.lit(None).cast(kind)).alias(k)
+                                            for k, kind in _CELLS.items()])
+        for i, (_, cells) in enumerate(answers)])))
+
+    def bands(doc):
+        listed = doc["config"].get("bands")
+        return listed and F.array(*[F.struct(
+            F.lit(b.get("lowerLimit")).cast("double").alias("lo"), F.lit(b.get("upperLimit")).cast("double").alias("hi"),
+            F.lit(b["subRuleRef"]).alias("ref")) for b in listed])
+
+    def cases(doc):
+        listed = doc["config"].get("cases")
+        return listed and _constant_map({c["value"]: c["subRuleRef"] for c in listed["expressions"]})
+
+    def alternative(doc):
+        listed = doc["config"].get("cases")
+        return F.lit(listed["alternative"]["subRuleRef"]) if listed else None
+
+    value, ok = F.col("_number"), F.col("ok")
+    inside = F.filter(_per_rule(docs, bands, "array<struct<lo:double,hi:double,ref:string>>"), lambda b: (
+        b["lo"].isNull() | (value >= b["lo"])) & (b["hi"].isNull() | (value < b["hi"])))
+    picked = F.when(value.isNotNull(), F.get(inside, 0)["ref"])
+    if any(d["config"].get("cases") for d in docs):
+        by_case = F.coalesce(_per_rule(docs, cases, "map<string,string>")[F.col("_case")],
+                             _per_rule(docs, alternative, "string"))
+        picked = F.when(F.col("_case").isNotNull(), by_case).otherwise(picked)
+    held = _per_rule(docs, lambda d: F.array(*[F.lit(r) for r in exit_refs(d)]), "array<string>")
+    failed = ~ok & F.array_contains(held, ".x00")
+    lacking = F.when(F.col("_exit") == ".x01", F.lit(NO_X01)).otherwise(F.lit(UNHANDLED))
+    fault = F.when(~failed, F.coalesce("_error", F.when(~F.array_contains(held, F.col("_exit")), lacking)))
+    decided = raw.select("tenant_id", "e2e", "_rule", "_number", picked.alias("_picked"), fault.alias("_fault"),
+                         F.when(failed, F.lit(".x00")).otherwise(F.col("_exit")).alias("_left"))
+    ref = F.when(F.col("_fault").isNotNull(), F.lit(ERR)).otherwise(F.coalesce("_left", "_picked", F.lit(ERR)))
+    plain = F.col("_fault").isNull() & F.col("_left").isNull()
+    named = decided.select("tenant_id", "e2e", "_rule", F.when(plain, F.col("_number")).alias("value"),
+                           ref.alias("sub_rule_ref"), "_fault")
+    text = _per_rule(docs, lambda d: _constant_map(reasons(d)), "map<string,string>")[F.col("sub_rule_ref")]
+    return named.select("tenant_id", "e2e",
+                        _per_rule(docs, lambda d: F.lit(d["id"].split("@")[0]), "string").alias("rule_id"),
+                        _per_rule(docs, lambda d: F.lit(d["cfg"]), "string").alias("cfg"), "value", "sub_rule_ref",
+                        F.coalesce("_fault", text).alias("reason"))

@@ -65,7 +65,7 @@ def _measures(docs: Mapping[str, dict]) -> dict[str, tuple[Measure, Column | Non
             add("z_sq", Measure("z_sq", here=True), F.when(ok, (amt * amt).cast("decimal(38,4)")))
         elif rule in _BENFORD:
             for d in range(1, 10):
-                add(f"d{d}", Measure(f"d{d}"), F.when(ok & (leading_digit(amt) == d), F.lit(1).cast("bigint")))
+                add(f"d{d}", Measure(f"d{d}"), F.when(ok & (F.col("digit") == d), F.lit(1).cast("bigint")))
         elif rule in _DISTINCT:
             name = f"m_{rule}"
             add(name, Measure(name), F.lit(None).cast("bigint"))
@@ -158,16 +158,17 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
 
 def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> DataFrame:
     measures = _measures(docs)
+    given = pay.withColumn("digit", leading_digit(F.col("amt"))) if _BENFORD & set(docs) else pay
     cells = [F.col(own).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(True).alias("real")]
     mirror = [F.col(other).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(False).alias("real")]
     for name, (_, own_value, other_value) in measures.items():
         cells.append(own_value.alias(name))
         mirror.append((other_value if other_value is not None else F.when(F.lit(False), own_value)).alias(name))
     if any(o is not None for _, _, o in measures.values()):
-        both = pay.select("tenant_id", *[F.struct(*c).alias(n) for c, n in ((cells, "_own"), (mirror, "_other"))])
+        both = given.select("tenant_id", *[F.struct(*c).alias(n) for c, n in ((cells, "_own"), (mirror, "_other"))])
         rows = both.select("tenant_id", F.inline(F.array("_own", "_other")))
     else:
-        rows = pay.select("tenant_id", *cells)
+        rows = given.select("tenant_id", *cells)
     line = scan(rows, ["tenant_id", "acct"], "t_ms", [m for m, _, _ in measures.values()],
                 deltas=_distinct_steps(pay, docs))
     wide = pay.withColumnRenamed(own, "acct").join(line, ["tenant_id", "acct", "t_ms"])

@@ -267,9 +267,10 @@ def _batch_pay(spark, d):
         kept[tx] = ms.dedup_message(valid, ["cre_dt_tm", "seq"])
     cache = hi.data_cache(kept[STATUS], kept[TRANSFER])
     rows = pay_from_history(cache.where("dbtr_acct_id is not null"))
-    return rows.select("tenant_id", F.col("end_to_end_id").alias("e2e"), "msg_id", F.col("dbtr_acct_id").alias("dbtr_acct"),
+    typed = rows.select("tenant_id", F.col("end_to_end_id").alias("e2e"), "msg_id", F.col("dbtr_acct_id").alias("dbtr_acct"),
                        F.col("cdtr_acct_id").alias("cdtr_acct"), F.col("instd_amt").alias("amt"), "req_ms", "t_ms",
                        (F.col("tx_sts") == "ACCC").alias("ok"))
+    return _write(spark, typed, "payments")  # texts are parsed once; every rule then reads typed columns
 
 
 @query("batch_take_on")
