@@ -292,7 +292,7 @@ def statements() -> dict[str, str]:
                      "concat_ws(',', q0, q1, q2, q0 + 1, q0, q1, q2, q0 + 1) AS flat, concat_ws(',', q0, q1, q2, q0 + 1, q0, q1, q2, q0 + 1) AS joined, "
                      f"CASE WHEN q0 = q1 THEN 0 ELSE 1 END AS found, 4 AS size {LI}")
     s["fn_loop"] = (f"SELECT {key}, list_max([x * 2 FOR x IN {ARR}]) AS mapped, len([x FOR x IN {ARR} IF x > 5]) AS kept, list_min({ARR}) > 0 AS every_one, "
-                    f"list_max({ARR}) > 40 AS any_one, list_sum({ARR}) AS total, ([x FOR x IN {ARR} IF x > 7])[1] AS first {LI}")
+                    f"list_max({ARR}) > 40 AS any_one, CAST(list_sum({ARR}) AS BIGINT) AS total, ([x FOR x IN {ARR} IF x > 7])[1] AS first {LI}")
     s["fn_object"] = ("SELECT event_id, 'id,kind,user' AS keys, array_to_string(list_sort([CAST(user_id AS VARCHAR), 'K', CAST(event_id AS VARCHAR)]), ',') AS vals, "
                       "3 AS entries, true AS has_id, false AS left_has_id FROM events")
     s["fn_if"] = "SELECT CASE WHEN l_quantity < 10 THEN 'few' WHEN l_quantity < 30 THEN 'some' ELSE 'many' END AS kind, count(*) AS n FROM lineitem GROUP BY 1"
@@ -333,14 +333,14 @@ def statements() -> dict[str, str]:
     s["rep_account_network"] = f"{WITH} {edges}"
     s["rep_counterparty_network"] = (
         f"{WITH}, e AS ({edges}), two AS (SELECT a.tenant_id, a.source, count(*) AS n, sum(a.payments * b.payments) AS m FROM e a JOIN e b "
-        "ON b.tenant_id = a.tenant_id AND b.source = a.destination GROUP BY 1, 2) SELECT e.tenant_id, e.source, count(*) AS payees, sum(payments) AS payments, "
-        "coalesce(any_value(n), 0) AS two_step_paths, coalesce(any_value(m), 0) AS two_step_payments FROM e LEFT JOIN two USING (tenant_id, source) GROUP BY 1, 2")
+        "ON b.tenant_id = a.tenant_id AND b.source = a.destination GROUP BY 1, 2) SELECT e.tenant_id, e.source, count(*) AS payees, CAST(sum(payments) AS BIGINT) AS payments, "
+        "coalesce(any_value(n), 0) AS two_step_paths, CAST(coalesce(any_value(m), 0) AS BIGINT) AS two_step_payments FROM e LEFT JOIN two USING (tenant_id, source) GROUP BY 1, 2")
     s["rep_alert_history"] = (f"{base}, {status}, a AS (SELECT p.tenant_id, dbtr_acct AS account, t_ms, e2e FROM pay p JOIN status USING (tenant_id, e2e) WHERE status = 'ALRT') "
                               "SELECT *, count(*) OVER (PARTITION BY tenant_id, account ORDER BY t_ms) AS alerts_so_far FROM a")
     s["rep_conditions_timeline"] = (
         f"{WITH}, {EDGES}, c AS (SELECT tenant_id, subject_type, incptn_ms AS t_ms, 1 AS a, 0 AS b FROM edges UNION ALL SELECT tenant_id, subject_type, xprtn_ms, 0, 1 "
-        "FROM edges WHERE xprtn_ms IS NOT NULL), g AS (SELECT tenant_id, subject_type, t_ms, sum(a) AS started, sum(b) AS ended FROM c GROUP BY 1, 2, 3) "
-        "SELECT *, sum(started - ended) OVER (PARTITION BY tenant_id, subject_type ORDER BY t_ms) AS in_force FROM g")
+        "FROM edges WHERE xprtn_ms IS NOT NULL), g AS (SELECT tenant_id, subject_type, t_ms, CAST(sum(a) AS BIGINT) AS started, CAST(sum(b) AS BIGINT) AS ended FROM c GROUP BY 1, 2, 3) "
+        "SELECT *, CAST(sum(started - ended) OVER (PARTITION BY tenant_id, subject_type ORDER BY t_ms) AS BIGINT) AS in_force FROM g")
     def side(account: str, other: str, n: str) -> str:
         return (f"s_{n} AS (SELECT tenant_id, {account} AS account, count(DISTINCT {other}) AS degree_{n}, count(*) AS payments_{n}, "
                 f"CAST(sum(amt) AS DOUBLE) AS flow_{n} FROM pay GROUP BY 1, 2)")

@@ -7,8 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """A configuration table. Its length is known here, so it is broadcast only within a fixed bound.
+
+    Without the hint Spark knows no size for driver rows and would shuffle every rule result by rule id.
+    """
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_ROWS else table
 
 
 def expand_map(spark: SparkSession, maps: Iterable[Mapping]) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, write_table
+
 WORD = r"[\p{L}\p{N}]+"
 # Markup removed in order: (pattern, replacement).
 MARKUP = [(r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "),
@@ -33,14 +35,20 @@ def doc_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def doc_search(docs: DataFrame, doc: str, text: str, terms: Sequence[str], k: int,
                k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top ``k`` documents by BM25; only the query's terms leave the scan."""
-    sized = docs.select(F.col(doc).alias("doc_id"), F.regexp_extract_all(F.lower(text), F.lit(WORD), 0).alias("words"))
+    """Top ``k`` documents by BM25.
+
+    One pass over the texts writes a narrow table (length and the query's term counts); statistics and scores read that.
+    """
+    # a one-element generator: the filters below stay above it and do not split the text again
+    sized = docs.select(F.col(doc).alias("doc_id"), F.explode(F.array(
+        F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))).alias("words"))
     wanted = sorted(set(terms))
     def occurrences(term: str) -> Column:
         return F.size(F.filter("words", lambda w: w == term))
 
     counts = [occurrences(t).alias(f"tf_{i}") for i, t in enumerate(wanted)]
-    sized = sized.select("doc_id", F.size("words").alias("len"), *counts)
+    spark = docs.sparkSession
+    sized = write_table(sized.select("doc_id", F.size("words").alias("len"), *counts), shared_dir(spark, "search"), "replace")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
                       *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"df_{i}") for i in range(len(wanted))])
     score = F.lit(0.0)

@@ -55,8 +55,9 @@ def _path(root: str, path: str) -> Column:
 def extract(documents: DataFrame, tx_tp: str, keep: Sequence[str] = ()) -> DataFrame:
     """Typed columns of every document of one type; the text is parsed once. Unparsable text gives nulls."""
     schema, paths = LAYOUT[tx_tp]
-    parsed = documents.withColumn("_doc", F.from_json("document", f"{schema}, _bad STRING",
-                                                      {"columnNameOfCorruptRecord": "_bad"}))
+    # a one-element generator: filters on the columns stay above it, so no filter parses the text again
+    doc = F.from_json("document", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
+    parsed = documents.select(*keep, "document", F.explode(F.array(doc)).alias("_doc"))
     bad = F.col("_doc").isNull() | F.col("_doc._bad").isNotNull()
     return parsed.select(*keep, "document", *[F.when(~bad, _path("_doc", p)).alias(c) for c, p in paths.items()],
                          bad.alias("malformed"))
