@@ -45,6 +45,13 @@ def block_of(time: Column, block_ms: int) -> Column:
     return ((time - F.pmod(time, F.lit(block_ms))) / block_ms).cast("bigint")
 
 
+def _known(rows: DataFrame, keys: Sequence[str], time: str, block_ms: int) -> DataFrame:
+    """Rows with a complete key. The later joins imply the same checks for one use of the rows but not the other;
+    stated here they are equal, so Spark shuffles the rows once for both."""
+    given = [F.col(c).isNotNull() for c in (*keys, time)]
+    return rows.where(reduce(Column.__and__, [*given, block_of(F.col(time), block_ms).isNotNull()]))
+
+
 def scan(rows: DataFrame, keys: Sequence[str], time: str, measures: Sequence[Measure],
          deltas: DataFrame | None = None, block_ms: int = HOUR_MS) -> DataFrame:
     """Evaluate ``measures`` per (keys, time) of the rows flagged ``real``.
@@ -54,7 +61,7 @@ def scan(rows: DataFrame, keys: Sequence[str], time: str, measures: Sequence[Mea
     """
     keys = list(keys)
     names = [m.name for m in measures]
-    moments = rows.groupBy(*keys, time).agg(
+    moments = _known(rows, keys, time, block_ms).groupBy(*keys, time).agg(
         F.max("real").alias("real"), *[_FOLD[m.op](m.name).alias(m.name) for m in measures])
     here = [m.name for m in measures if m.here]
     steps = moments.select(*keys, time, "real", *names, *[F.col(n).alias(f"{n}_here") for n in here])
@@ -115,7 +122,7 @@ def range_max(rows: DataFrame, keys: Sequence[str], time: str, value: str, range
     keys = list(keys)
     block_ms = min(block_ms, range_ms)
     whole = range_ms // block_ms
-    moments = (rows.groupBy(*keys, time).agg(F.max("real").alias("real"), F.max(value).alias("_m"))
+    moments = (_known(rows, keys, time, block_ms).groupBy(*keys, time).agg(F.max("real").alias("real"), F.max(value).alias("_m"))
                .withColumn("_block", block_of(F.col(time), block_ms)))
 
     tail_frame = (Window.partitionBy(*keys, "_block").orderBy(time)
@@ -166,7 +173,7 @@ def recent(rows: DataFrame, keys: Sequence[str], time: str, item: str, n: int, b
     def top(lists: Column) -> Column:
         return F.slice(F.sort_array(F.flatten(lists), asc=False), 1, n)
 
-    moments = (newest(rows.select(*keys, time, item), [*keys, time], item, F.col(item))
+    moments = (newest(_known(rows.select(*keys, time, item), keys, time, block_ms), [*keys, time], item, F.col(item))
                .withColumn("_block", block_of(F.col(time), block_ms)))
     before = Window.partitionBy(*keys, "_block").orderBy(time).rowsBetween(-n, -1)
     local = moments.select(*keys, time, "_block", top(F.collect_list("_items").over(before)).alias("_local"))
