@@ -20,12 +20,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def save(rows: DataFrame, path: str, mode: str, partitions: Sequence[str] = (), dynamic: bool = False) -> None:
+    """Write Parquet. Rows are rebalanced by the partition columns first: one folder's rows come together instead of
+    every task opening every folder, and AQE splits a folder that is too large for one task."""
+    if not partitions:
+        rows.write.mode(mode).parquet(path)
+        return
+    writer = rows.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions)
+    (writer.option("partitionOverwriteMode", "dynamic") if dynamic else writer).parquet(path)
+
+
 def write_table(rows: DataFrame, path: str, mode: str = "append", partitions: Sequence[str] = ()) -> DataFrame:
     """Write Parquet (``append`` or ``replace``) and return the table as read back."""
     if mode not in ("append", "replace"):
         raise ValueError(f"mode must be append or replace, not {mode}")
-    writer = rows.write.mode("append" if mode == "append" else "overwrite")
-    (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
+    save(rows, path, "append" if mode == "append" else "overwrite", partitions)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -42,8 +51,7 @@ def ingest_push(batch: DataFrame, job: Mapping, table_path: str) -> DataFrame:
     """Append or replace a pushed batch under its endpoint path and version."""
     tagged = batch.withColumns({"endpoint_path": F.lit(job["path"]), "version": F.lit(job.get("version", "v1"))})
     if job["mode"] == "replace":
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "endpoint_path", "version").parquet(table_path)
+        save(tagged, table_path, "overwrite", ["endpoint_path", "version"], dynamic=True)
         return batch.sparkSession.read.parquet(table_path)
     return write_table(tagged, table_path, "append", ["endpoint_path", "version"])
 
@@ -106,8 +114,7 @@ def lake_upsert(spark: SparkSession, path: str, changes: DataFrame, keys: Sequen
     touched = base.join(changes.select(partition).distinct(), partition, "left_semi")
     staged = shared_dir(spark, "upsert-stage")
     upsert(touched, changes, keys, version).write.parquet(staged)
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+    save(spark.read.parquet(staged), path, "overwrite", [partition], dynamic=True)
     return spark.read.parquet(path)
 
 
