@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import quality, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,8 +20,14 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", *[f"quality.{m}" for m in measures], "base_failed", "kept")
 
 
+def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality_rules,
+    "op10_simhash_near_dedup": simhash_near_dedup,
 }
 
 _WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -31,7 +37,8 @@ STATEMENTS: dict[str, str] = {
     "op9_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_WORDS} AS ws,
-        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS ls FROM d),
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS ls FROM d),
 starts AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 7)) AS i FROM w WHERE len(ws) >= 8),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_aggregate(ws[i:i + 7], 'string_agg', ' ')) AS times
             FROM starts),
