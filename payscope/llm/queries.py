@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import quality, sharding, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,12 +20,20 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "row.doc_id", *[f"quality.{m}" for m in measures], "base_failed", "kept")
 
 
+def histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document; 24 shards of nearly equal bytes."""
+    return sharding.shard(table(spark, folder, "documents"), 24).select(
+        "row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_histogram_shards": histogram_shards,
     "op9_quality_rules": quality_rules,
     "op10_simhash_near_dedup": simhash_near_dedup,
 }
