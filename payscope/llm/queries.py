@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, simhash
+from . import line_spread, piecewise, preferences, quality, sharding, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,25 @@ def histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def piecewise_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited form, and their likeness."""
+    return piecewise.compared_with_edit_and_next(table(spark, folder, "documents")).drop("next_fingerprint")
+
+
+def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt and masked completions of each conversation against itself with its partner's ending."""
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    pairs = preferences.format_pairs(preferences.with_partner_endings(table(spark, folder, "conversations")))
+    return pairs.withColumns({c: spans(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+def line_spread_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, lines removed and the digest of the cleaned text of every document."""
+    return line_spread.remove_boilerplate(table(spark, folder, "documents")).select(
+        "row.doc_id", "n_lines", "n_removed", F.length("clean").cast("long").alias("clean_chars"),
+        F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
+
+
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -34,6 +53,9 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": histogram_shards,
+    "op3_preference_pairs": preference_pairs,
+    "op6_piecewise_fingerprints": piecewise_fingerprints,
+    "op8_line_spread_dedup": line_spread_dedup,
     "op9_quality_rules": quality_rules,
     "op10_simhash_near_dedup": simhash_near_dedup,
 }
@@ -41,7 +63,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _SHARE = "coalesce({} * 1.0::DOUBLE / nullif({}, 0), {})"
 
+_SPANS = """list_aggregate(list_transform(list_filter(range(1, len({0}) + 1), lambda i: {0}[i].role = 'assistant'),
+  lambda i: (coalesce(list_sum(list_transform({0}[1:i - 1], lambda t: length(t.s))), 0) + 13 + length({0}[i].role))::BIGINT::VARCHAR
+    || '-' || (list_sum(list_transform({0}[1:i], lambda t: length(t.s))))::BIGINT::VARCHAR), 'string_agg', ',')"""
+
 STATEMENTS: dict[str, str] = {
+    "op3_preference_pairs": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final FROM t),
+e AS (SELECT * FROM z WHERE final),
+sides AS (
+  SELECT conv_id, true AS chosen, turn, role, text FROM z
+  UNION ALL SELECT conv_id, false, turn, role, text FROM z WHERE NOT final
+  UNION ALL SELECT a.conv_id, false, a.turn, b.role, b.text FROM e a JOIN e b ON b.conv_id = xor(a.conv_id, 1)),
+shown AS (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM sides),
+p AS (SELECT conv_id,
+    coalesce(list({{'role': role, 's': s}} ORDER BY turn, role, text) FILTER (WHERE chosen), []) AS c,
+    coalesce(list({{'role': role, 's': s}} ORDER BY turn, role, text) FILTER (WHERE NOT chosen), []) AS r
+  FROM shown GROUP BY conv_id),
+n AS (SELECT *, coalesce(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])[1] - 1,
+                         least(len(c), len(r))) AS n FROM p),
+x AS (SELECT conv_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM n)
+SELECT conv_id AS pair_id, n AS n_prompt_turns,
+  coalesce(list_aggregate(list_transform(p, lambda t: t.s), 'string_agg', ''), '') AS prompt,
+  coalesce(list_aggregate(list_transform(c, lambda t: t.s), 'string_agg', ''), '') AS chosen,
+  coalesce(list_aggregate(list_transform(r, lambda t: t.s), 'string_agg', ''), '') AS rejected,
+  coalesce({_SPANS.format("c")}, '') AS chosen_spans, coalesce({_SPANS.format("r")}, '') AS rejected_spans
+FROM x""",
+    "op8_line_spread_dedup": f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, source, unnest(range(len(ls))) AS no, unnest(ls) AS line FROM d),
+l AS (SELECT doc_id, source, no, trim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g')) AS bare FROM u),
+b AS (SELECT bare, min({{'d': doc_id, 'n': no}}) AS first FROM l
+      WHERE bare <> '' AND len(string_split_regex(bare, ' +')) >= {line_spread.MIN_WORDS}
+      GROUP BY bare HAVING count(DISTINCT source) >= {line_spread.MIN_SITES}),
+g AS (SELECT doc_id, list(no) AS gone FROM l JOIN b USING (bare)
+      WHERE doc_id <> first.d OR no <> first.n GROUP BY doc_id),
+c AS (SELECT doc_id, ls, text, coalesce(len(gone), 0) AS n_removed, CASE WHEN gone IS NULL THEN text ELSE coalesce(
+        list_aggregate(list_filter(ls, lambda x, i: NOT list_contains(gone, i - 1)), 'string_agg', chr(10)), '') END AS clean
+      FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, coalesce(len(ls), 0) AS n_lines, n_removed, length(clean) AS clean_chars, md5(clean) AS clean_md5 FROM c""",
     "op9_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, {_WORDS} AS ws,
