@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, piecewise, preferences, quality, sharding, simhash
+from . import line_spread, packing, piecewise, preferences, quality, sharding, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,6 +47,17 @@ def line_spread_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 
+def nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document in windows of 1024 ids."""
+    return pieces(table(spark, folder, "documents"))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0, window=1024)
+    return packed.select("doc_id", "start", "length", packing.ids_crc32("wide", "ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
@@ -54,6 +66,7 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": histogram_shards,
     "op3_preference_pairs": preference_pairs,
+    "op5_nnls_packing": nnls_packing,
     "op6_piecewise_fingerprints": piecewise_fingerprints,
     "op8_line_spread_dedup": line_spread_dedup,
     "op9_quality_rules": quality_rules,
