@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, packing, piecewise, preferences, quality, sharding, simhash
+from payscope.sources.tables import shared_dir
+
+from . import (line_spread, packing, piecewise, preferences, quality, sharding, simhash, token_store,
+               words)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +50,14 @@ def line_spread_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    store = shared_dir(spark, "token-store")
+    token_store.write(table(spark, folder, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return token_store.read(spark, store).select("doc_id", "start", "n_tokens",
+                                                 words.ids_crc32("wide", "ids").alias("ids_crc32"))
+
+
 def nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document in windows of 1024 ids."""
     return pieces(table(spark, folder, "documents"))
@@ -54,7 +65,7 @@ def nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def pieces(docs: DataFrame) -> DataFrame:
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0, window=1024)
-    return packed.select("doc_id", "start", "length", packing.ids_crc32("wide", "ids").alias("ids_crc32"), "doc_tokens",
+    return packed.select("doc_id", "start", "length", words.ids_crc32("wide", "ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 
 
@@ -65,6 +76,7 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": histogram_shards,
+    "op2_token_files": token_files,
     "op3_preference_pairs": preference_pairs,
     "op5_nnls_packing": nnls_packing,
     "op6_piecewise_fingerprints": piecewise_fingerprints,
