@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from payscope.sources.tables import shared_dir
 
-from . import (line_spread, packing, piecewise, preferences, quality, sharding, simhash, token_store,
+from . import (bpe, line_spread, packing, piecewise, preferences, quality, sharding, simhash, token_store,
                words)
 
 
@@ -58,6 +58,13 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
                                                  words.ids_crc32("wide", "ids").alias("ids_crc32"))
 
 
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded over distinct words, and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.per_document(encoded, spark, ranks)
+
+
 def nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document in windows of 1024 ids."""
     return pieces(table(spark, folder, "documents"))
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": histogram_shards,
     "op2_token_files": token_files,
     "op3_preference_pairs": preference_pairs,
+    "op4_bpe_round_trip": bpe_round_trip,
     "op5_nnls_packing": nnls_packing,
     "op6_piecewise_fingerprints": piecewise_fingerprints,
     "op8_line_spread_dedup": line_spread_dedup,
