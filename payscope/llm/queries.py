@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from payscope.sources.tables import shared_dir
 
-from . import (bpe, line_spread, packing, piecewise, preferences, quality, sharding, simhash, token_store,
+from . import (bpe, line_spread, masked_lm, packing, piecewise, preferences, quality, sharding, simhash, token_store,
                words)
 
 
@@ -43,6 +43,11 @@ def preference_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumns({c: spans(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
+def masked_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under a network trained on all of them."""
+    return masked_lm.score_by_own_corpus(table(spark, folder, "documents"))
+
+
 def line_spread_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines, lines removed and the digest of the cleaned text of every document."""
     return line_spread.remove_boilerplate(table(spark, folder, "documents")).select(
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": bpe_round_trip,
     "op5_nnls_packing": nnls_packing,
     "op6_piecewise_fingerprints": piecewise_fingerprints,
+    "op7_masked_lm_scores": masked_lm_scores,
     "op8_line_spread_dedup": line_spread_dedup,
     "op9_quality_rules": quality_rules,
     "op10_simhash_near_dedup": simhash_near_dedup,
