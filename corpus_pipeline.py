@@ -1,11 +1,52 @@
-"""Documents to packed training sequences: quality rules, line dedup, near-duplicate removal, packing."""
+"""Documents to packed training sequences: quality rules, line dedup, near-duplicate removal, packing.
+
+The table that a stage returns is written and read again before the next one.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from payscope.llm import line_spread, quality, queries, simhash
+from payscope.sources.tables import shared_dir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.keep_good(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are boilerplate of many sources; ``n_chars`` follows the text."""
+    return line_spread.without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 1024 ids."""
+    return queries.pieces(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = []
+#: Near-duplicate groups and packing cannot be put in SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; the last one's pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
