@@ -315,7 +315,7 @@ def statements() -> dict[str, str]:
     s["rep_executive"] = (f"{WITH}, m AS (SELECT tenant_id, strftime({day}, '%Y-%m') AS month, count(*) AS events, sum(amt) AS a FROM pay GROUP BY 1, 2) "
                           "SELECT tenant_id, month, events, CAST(a AS DOUBLE) AS amount, round(CAST(a AS DOUBLE) / CAST(sum(a) OVER (PARTITION BY month) AS DOUBLE), 6) AS share FROM m")
     s["rep_fraud_trend"] = (f"{base}, {status}, d AS (SELECT p.tenant_id, CAST({day} AS VARCHAR) AS day, count(*) AS events, count(*) FILTER (WHERE status = 'ALRT') AS alerts "
-                            "FROM pay p JOIN status USING (tenant_id, e2e) GROUP BY 1, 2) SELECT *, round(avg(alerts) OVER (PARTITION BY tenant_id ORDER BY day ROWS 6 PRECEDING), 6) AS moving_avg FROM d")
+                            "FROM pay p JOIN status USING (tenant_id, e2e) GROUP BY 1, 2) SELECT *, round(avg(alerts) OVER (PARTITION BY tenant_id ORDER BY CAST(day AS DATE) RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 6) AS moving_avg FROM d")
     s["rep_typology_effectiveness"] = (f"{base} SELECT typology_cfg, count(*) AS evaluated, count(*) FILTER (WHERE alert) AS breached, "
                                        "round(count(*) FILTER (WHERE alert) / count(*), 6) AS hit_rate, round(avg(score), 6) AS mean_score FROM decisions GROUP BY 1")
     three = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, sub_rule_ref FROM ({rule_sql(r)})" for r in ("901", "902", "044"))

@@ -103,11 +103,10 @@ def rule_sql(rule: str) -> str:
         own, other = ("cdtr_acct", "dbtr_acct") if rule in ("024", "026") else ("dbtr_acct", "cdtr_acct")
         goal = "q.amt * 0.9" if rule == "026" else "q.amt"
         got = "s * 0.9" if rule == "027" else "s"
-        ctes = (f"mom AS (SELECT tenant_id, {other} AS acct, t_ms, sum(amt) AS a, count(*) AS c FROM pay WHERE ok "
-                f"GROUP BY ALL), run AS (SELECT q.tenant_id, q.e2e, q.ok, {goal} AS goal, m.c AS mc, "
-                f"sum(m.a) OVER w AS s, sum(m.c) OVER w AS n FROM pay q LEFT JOIN mom m ON m.tenant_id = q.tenant_id "
-                f"AND m.acct = q.{own} AND m.t_ms BETWEEN q.t_ms - 86400000 AND q.t_ms WINDOW w AS (PARTITION BY "
-                f"q.tenant_id, q.e2e ORDER BY m.t_ms DESC))")
+        ctes = (f"run AS (SELECT q.tenant_id, q.e2e, q.ok, {goal} AS goal, m.e2e AS mc, sum(m.amt) OVER w AS s, "
+                f"count(m.e2e) OVER w AS n FROM pay q LEFT JOIN pay m ON m.tenant_id = q.tenant_id AND m.ok "
+                f"AND m.{other} = q.{own} AND m.t_ms BETWEEN q.t_ms - 86400000 AND q.t_ms WINDOW w AS (PARTITION BY "
+                f"q.tenant_id, q.e2e ORDER BY m.t_ms DESC, m.e2e DESC))")
         return decided(rule, f"SELECT tenant_id, e2e, ok, v, CASE WHEN cnt = 0 THEN '.x01' WHEN v IS NULL THEN '.x03' "
                              f"END AS x FROM (SELECT tenant_id, e2e, any_value(ok) AS ok, count(mc) AS cnt, "
                              f"min(n) FILTER (WHERE abs({got} - goal) <= 0.1 * goal) AS v FROM run GROUP BY 1, 2)",
@@ -122,10 +121,11 @@ def rule_sql(rule: str) -> str:
         return decided(rule, "SELECT tenant_id, e2e, ok, tx_kind AS v, NULL AS x FROM pay")
     if rule in ("083", "084"):
         who = "dbtr_id" if rule == "083" else "cdtr_id"
-        ctes = ("held AS (SELECT tenant_id, entity, count(DISTINCT acct) AS n FROM (SELECT tenant_id, dbtr_id AS entity, "
-                "dbtr_acct AS acct FROM pay UNION ALL SELECT tenant_id, cdtr_id, cdtr_acct FROM pay) GROUP BY 1, 2)")
-        return decided(rule, f"SELECT q.tenant_id, q.e2e, q.ok, h.n AS v, NULL AS x FROM pay q JOIN held h "
-                             f"ON h.tenant_id = q.tenant_id AND h.entity = q.{who}", ctes=ctes)
+        ctes = ("held AS (SELECT tenant_id, dbtr_id AS entity, dbtr_acct AS acct, t_ms FROM pay "
+                "UNION ALL SELECT tenant_id, cdtr_id, cdtr_acct, t_ms FROM pay)")
+        return decided(rule, f"SELECT q.tenant_id, q.e2e, any_value(q.ok) AS ok, count(DISTINCT h.acct) AS v, NULL AS x "
+                             f"FROM pay q JOIN held h ON h.tenant_id = q.tenant_id AND h.entity = q.{who} "
+                             f"AND h.t_ms <= q.t_ms GROUP BY q.tenant_id, q.e2e", ctes=ctes)
     if rule == "090":
         ctes = ("payers AS (SELECT DISTINCT q.tenant_id, q.e2e, q.t_ms, p.dbtr_acct AS payer FROM pay q JOIN pay p "
                 "ON p.tenant_id = q.tenant_id AND p.ok AND p.cdtr_acct = q.dbtr_acct "

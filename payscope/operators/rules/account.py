@@ -61,8 +61,11 @@ def _measures(docs: Mapping[str, dict]) -> dict[str, tuple[Measure, Column | Non
             add(name, Measure(name, range_ms=params.get("maxQueryRange")), one)
         elif rule in _ZSCORE:
             add("z_n", Measure("z_n", here=True), one)
-            add("z_sum", Measure("z_sum", here=True), F.when(ok, amt.cast("decimal(28,2)")))
-            add("z_sq", Measure("z_sq", here=True), F.when(ok, (amt * amt).cast("decimal(38,4)")))
+            apart = (amt - F.col("ref")).cast("decimal(19,2)")
+            add("z_sum", Measure("z_sum", here=True), F.when(ok, apart.cast("decimal(30,2)")))
+            add("z_sq", Measure("z_sq", here=True), F.when(ok, apart.cast("double") * apart.cast("double")))
+            add("z_low", Measure("z_low", "min"), F.when(ok, amt))
+            add("z_high", Measure("z_high", "max"), F.when(ok, amt))
         elif rule in _BENFORD:
             for d in range(1, 10):
                 add(f"d{d}", Measure(f"d{d}"), F.when(ok & (F.col("digit") == d), F.lit(1).cast("bigint")))
@@ -99,16 +102,12 @@ def _bins(pay: DataFrame, acct: str, interval: int) -> DataFrame:
                          F.min(F.when(F.col("n") > 0, F.col("bin"))).over(earlier).alias("bin_first"))
 
 
-def _spread(n: Column, total: Column, squares: Column) -> tuple[Column, Column, Column]:
-    """Mean, population standard deviation and whether all values are equal, from exact sums.
-
-    n·Σx² − (Σx)² is formed in decimals, so nothing cancels; only sums beyond their range fall back to doubles.
-    """
-    exact = (n.try_cast("decimal(12,0)") * squares.try_cast("decimal(26,4)")
-             - total.try_cast("decimal(19,2)") * total.try_cast("decimal(19,2)"))
-    n, s, q = n.cast("double"), total.cast("double"), squares.cast("double")
-    scatter = F.coalesce(exact.cast("double"), F.greatest(n * q - s * s, F.lit(0.0)))
-    return s / n, F.sqrt(scatter) / n, scatter == 0
+def _count_spread(n: Column, total: Column, squares: Column) -> tuple[Column, Column, Column]:
+    """Mean, population standard deviation and whether all counts are equal: n·Σx² − (Σx)² in whole decimals, so nothing
+    cancels; a sum beyond their range is an error, not another way."""
+    exact = (n.cast("decimal(10,0)") * squares.cast("decimal(27,0)")
+             - total.cast("decimal(18,0)") * total.cast("decimal(18,0)"))
+    return total.cast("double") / n, F.sqrt(exact.cast("double")) / n, exact == 0
 
 
 def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
@@ -135,10 +134,14 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
     if rule in _DISTINCT:
         return F.col(f"m_{rule}"), None
     if rule in _ZSCORE:
-        n, total = F.col("z_n") - F.col("z_n_here"), F.col("z_sum") - F.col("z_sum_here")
-        mean, sd, flat = _spread(n, total, F.col("z_sq") - F.col("z_sq_here"))
-        leaves = F.when(n < 1, ".x01").when(flat & (F.col("amt") * n > total), ".x03").when(flat, ".x04")
-        return F.when((n > 0) & ~flat, (F.col("amt").cast("double") - mean) / sd), leaves
+        # amounts are taken from the account's first one: it is among the prior ones, so nothing cancels
+        n = F.col("z_n") - F.col("z_n_here")
+        total = (F.col("z_sum") - F.col("z_sum_here")).cast("double")
+        scatter = F.greatest(n * (F.col("z_sq") - F.col("z_sq_here")) - total * total, F.lit(0.0))
+        flat = F.col("z_low") == F.col("z_high")
+        leaves = F.when(n < 1, ".x01").when(flat & (F.col("amt") > F.col("z_high")), ".x03").when(flat, ".x04")
+        apart = (F.col("amt") - F.col("ref")).cast("double") - total / n
+        return F.when((n > 0) & ~flat, apart / (F.sqrt(scatter) / n)), leaves
     if rule in _BENFORD:
         counts = [F.col(f"d{d}") for d in range(1, 10)]
         n = sum(counts[1:], counts[0])
@@ -150,7 +153,7 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
         return F.when(enough, chi), F.when(~enough, ".x01")
     bins = F.col("bin") - F.col("bin_first")
     now = F.col("n_all") - F.coalesce(F.col("bin_sum"), F.lit(0))
-    mean, sd, flat = _spread(bins, F.col("bin_sum"), F.col("bin_sq"))
+    mean, sd, flat = _count_spread(bins, F.col("bin_sum"), F.col("bin_sq"))
     short = F.coalesce(bins < 2, F.lit(True))
     leaves = F.when(short, ".x01").when(flat & (now * bins > F.col("bin_sum")), ".x03").when(flat, ".x04")
     return F.when(~short & ~flat, (now - mean) / sd), leaves
@@ -158,6 +161,10 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
 
 def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> DataFrame:
     measures = _measures(docs)
+    if _ZSCORE & set(docs):
+        refs = (pay.where("ok").groupBy("tenant_id", own)
+                .agg(F.min_by("amt", F.when(F.col("amt").isNotNull(), F.struct("t_ms", "e2e"))).alias("ref")))
+        pay = pay.join(refs, ["tenant_id", own], "left")
     given = pay.withColumn("digit", leading_digit(F.col("amt"))) if _BENFORD & set(docs) else pay
     cells = [F.col(own).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(True).alias("real")]
     mirror = [F.col(other).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(False).alias("real")]
@@ -171,13 +178,19 @@ def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) ->
         rows = given.select("tenant_id", *cells)
     line = scan(rows, ["tenant_id", "acct"], "t_ms", [m for m, _, _ in measures.values()],
                 deltas=_distinct_steps(pay, docs))
-    wide = pay.withColumnRenamed(own, "acct").join(line, ["tenant_id", "acct", "t_ms"])
+    wide = pay.withColumnRenamed(own, "acct").join(line, ["tenant_id", "acct", "t_ms"], "left")
     volume = [r for r in docs if r in _VOLUME]
     if volume:
         interval = docs[volume[0]]["config"]["parameters"]["evaluationIntervalTime"]
         wide = (wide.withColumn("bin", F.floor(F.col("t_ms") / interval).cast("bigint"))
-                .join(_bins(pay, own, interval), ["tenant_id", "acct", "bin"]))
-    return results(wide, [outcome(doc, *_rule_columns(rule, doc)) for rule, doc in docs.items()])
+                .join(_bins(pay, own, interval), ["tenant_id", "acct", "bin"], "left"))
+    outs = []
+    for rule, doc in docs.items():
+        value, leaves = _rule_columns(rule, doc)
+        # a payment without the account has no history to be short of: no value, no exit, but a result
+        known = None if leaves is None else F.when(F.col("acct").isNotNull(), leaves)
+        outs.append(outcome(doc, F.when(F.col("acct").isNotNull(), value), known))
+    return results(wide, outs)
 
 
 def debtor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
@@ -190,7 +203,8 @@ def creditor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
 
 def pair(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     """Rule 030: settled payments so far between this debtor and this creditor account."""
-    wide = pay.join(pair_scan(pay).drop("pair_prev"), ["tenant_id", "dbtr_acct", "cdtr_acct", "t_ms"])
+    wide = pay.join(pair_scan(pay).drop("pair_prev"), ["tenant_id", "dbtr_acct", "cdtr_acct", "t_ms"],
+                    "left")
     return results(wide, [outcome(docs["030"], F.col("pair_n"))])
 
 
@@ -205,16 +219,19 @@ def row_local(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
 
 
 def holders(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
-    """Rules 083 and 084: accounts held by the paying and the paid entity."""
-    ends = F.array(F.struct(F.col("dbtr_id").alias("entity"), F.col("dbtr_acct").alias("acct")),
-                   F.struct(F.col("cdtr_id").alias("entity"), F.col("cdtr_acct").alias("acct")))
-    held = (pay.select("tenant_id", F.inline(ends)).distinct()
-            .groupBy("tenant_id", "entity").agg(F.count(F.lit(1)).alias("held")))
+    """Rules 083 and 084: accounts that the paying and the paid entity have held up to the payment's time."""
+    ends = F.array(F.struct(F.col("dbtr_id").alias("entity"), F.col("dbtr_acct").alias("acct"), "t_ms"),
+                   F.struct(F.col("cdtr_id").alias("entity"), F.col("cdtr_acct").alias("acct"), "t_ms"))
+    seen = pay.select("tenant_id", F.inline(ends))
+    firsts = (seen.where("acct is not null").groupBy("tenant_id", "entity", "acct").agg(F.min("t_ms").alias("t_ms"))
+              .select("tenant_id", "entity", "t_ms", F.lit(False).alias("real"), F.lit(1).cast("bigint").alias("held")))
+    moments = seen.select("tenant_id", "entity", "t_ms", F.lit(True).alias("real"), F.lit(None).cast("bigint").alias("held"))
+    held = scan(moments.unionByName(firsts), ["tenant_id", "entity"], "t_ms", [Measure("held")])
     sides = {"083": "dbtr_id", "084": "cdtr_id"}
     wide = pay
     for rule in docs:
-        wide = wide.join(held.select("tenant_id", F.col("entity").alias(sides[rule]),
-                                     F.col("held").alias(f"held_{rule}")), ["tenant_id", sides[rule]], "left")
+        wide = wide.join(held.withColumnsRenamed({"entity": sides[rule], "held": f"held_{rule}"}),
+                         ["tenant_id", sides[rule], "t_ms"], "left")
     return results(wide, [outcome(doc, F.col(f"held_{rule}")) for rule, doc in docs.items()])
 
 

@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..outcome import NO_HISTORY, outcome, results
+from ..outcome import NO_HISTORY, NO_X00, NOT_NUMERIC, outcome, results
 from ..timeline import HOUR_MS, Measure, block_of, range_max, recent, scan
 
 CENTS = 100
-HOT_LIST = 2_000
-MAX_LEVEL = 28  # 4^28 cents exceeds any decimal(18,2) amount
+MOST_CENTS = 10 ** 18 - 1  # the largest decimal(18,2) amount
+MAX_LEVEL = next(j for j in range(64) if 4 ** j > MOST_CENTS)  # one cell of this level holds every amount
 
 
 def _dec(x: float | int) -> Column:
@@ -48,7 +48,7 @@ def last_n(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
             near = lambda i: i["cdtr_acct"] == F.col("cdtr_acct")
         value = F.size(F.filter(items, near)) + 1
         outs.append(outcome(doc, F.when(F.size("recent") > 0, value),
-                            F.when(F.coalesce(F.size("recent"), F.lit(0)) < 1, ".x01")))
+                            F.when(F.col("dbtr_acct").isNotNull() & (F.coalesce(F.size("recent"), F.lit(0)) < 1), ".x01")))
     return results(wide, outs)
 
 
@@ -59,10 +59,10 @@ def largest(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
                       F.when(F.col("ok"), F.col("amt")).alias("top"))
     tops = range_max(rows, ["tenant_id", "dbtr_acct"], "t_ms", "top", doc["config"]["parameters"]["maxQueryRange"],
                      include_now=False)
-    wide = pay.join(tops, ["tenant_id", "dbtr_acct", "t_ms"])
+    wide = pay.join(tops, ["tenant_id", "dbtr_acct", "t_ms"], "left")
     some = F.coalesce(F.col("top") > 0, F.lit(False))
     value = F.when(some, F.col("amt").cast("double") / F.col("top").cast("double"))
-    return results(wide, [outcome(doc, value, F.when(~some, ".x01"))])
+    return results(wide, [outcome(doc, value, F.when(F.col("dbtr_acct").isNotNull() & ~some, ".x01"))])
 
 
 def _amount_cells(low: Column, high: Column) -> Column:
@@ -85,8 +85,9 @@ def _amount_cells(low: Column, high: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(MAX_LEVEL)), at))
 
 
-def _similar_hot(rows: DataFrame, tolerance: float, range_ms: int | None) -> DataFrame:
-    """Rule 021 statistics for busy accounts without listing their payments.
+def _similar(rows: DataFrame, tolerance: float, range_ms: int | None) -> DataFrame:
+    """Rule 021 statistics without listing payments: ``n`` settled payments in range, ``bad`` ones without an amount,
+    ``similar`` ones with an amount within tolerance of the newest.
 
     The newest amount comes from a blocked range maximum. Counting payments with an amount in [low, high] and a time
     in range becomes sums of running counts: each payment is counted once per width of amount cell it lies in, each
@@ -100,65 +101,55 @@ def _similar_hot(rows: DataFrame, tolerance: float, range_ms: int | None) -> Dat
         top = top.join(now, [*keys, "t_ms"]).withColumn("newest", F.greatest("newest", "_now")).drop("_now")
     else:
         top = range_max(newest, keys, "t_ms", "newest", range_ms, include_now=True)
-    total = scan(rows.withColumn("n", F.lit(1).cast("bigint")), keys, "t_ms", [Measure("n", range_ms=range_ms)])
-    asked = top.join(total, [*keys, "t_ms"]).select(*keys, "t_ms", F.col("newest.amt").alias("a0"), "n")
+    one = F.lit(1).cast("bigint")
+    total = scan(rows.withColumns({"n": one, "bad": F.when(F.col("amt").isNull(), one)}), keys, "t_ms",
+                 [Measure("n", range_ms=range_ms), Measure("bad", range_ms=range_ms)])
+    asked = top.join(total, [*keys, "t_ms"]).select(*keys, "t_ms", F.col("newest.amt").alias("a0"), "n", "bad")
 
     slack = F.col("a0") * _dec(tolerance)
-    low = F.ceil((F.col("a0") - slack) * CENTS).cast("bigint")
-    high = F.floor((F.col("a0") + slack) * CENTS).cast("bigint")
-    asks = (asked.where("n > 1").select(*keys, "t_ms", F.inline(_amount_cells(low, high)))
+    low = F.ceil(F.greatest((F.col("a0") - slack) * CENTS, F.lit(-MOST_CENTS))).cast("bigint")
+    high = F.floor(F.least((F.col("a0") + slack) * CENTS, F.lit(MOST_CENTS))).cast("bigint")
+    asks = (asked.where("n > 1 and bad = 0").select(*keys, "t_ms", F.inline(_amount_cells(low, high)))
             .withColumns({"real": F.lit(True), "n": F.lit(None).cast("bigint")}))
     cents = (F.col("amt") * CENTS).cast("bigint")
     widest = (F.lit(MAX_LEVEL) if tolerance >= 0.99 else
               F.least(F.lit(MAX_LEVEL), F.ceil(F.log2(F.greatest(
                   cents * (2.0 * tolerance / (1.0 - tolerance)) + 2.0, F.lit(1.0))) / 2).cast("int") + 1))
-    points = rows.select(*keys, "t_ms", F.explode(F.sequence(F.lit(0), widest)).alias("level"), cents.alias("_c"))
+    points = rows.where("amt is not null").select(*keys, "t_ms", F.explode(F.sequence(F.lit(0), widest)).alias("level"),
+                                                  cents.alias("_c"))
     width = F.pow(F.lit(4.0), F.col("level")).cast("bigint")
     points = points.select(*keys, "t_ms", "level", F.call_function("div", F.col("_c") - F.pmod(F.col("_c"), width), width)
                            .alias("cell"), F.lit(False).alias("real"), F.lit(1).cast("bigint").alias("n"))
     counted = scan(points.unionByName(asks), [*keys, "level", "cell"], "t_ms", [Measure("n", range_ms=range_ms)])
     matches = counted.groupBy(*keys, "t_ms").agg(F.sum("n").alias("similar"))
-    return asked.join(matches, [*keys, "t_ms"], "left").select(*keys, "t_ms", "n", "similar")
+    return asked.join(matches, [*keys, "t_ms"], "left").select(*keys, "t_ms", "n", "bad", "similar")
 
 
-def similar_amounts(pay: DataFrame, docs: Mapping[str, dict], hot: int = HOT_LIST) -> DataFrame:
+def similar_amounts(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     """Rule 021: settled payments into the creditor account in range with an amount within tolerance of the newest.
 
-    The newest is the last by transfer time (ties: e2e), the range runs over status time. Quiet accounts read their
-    short range from a window; accounts with more than ``hot`` payments in some range take ``_similar_hot``.
+    The newest is the last by transfer time (ties: e2e), the range runs over status time. Without ``.x00`` in the
+    configuration an unsettled payment ends in its error before any history is read; a payment in range without an
+    amount (its document held no number) is a type mismatch.
     """
     doc = docs["021"]
     params = doc["config"]["parameters"]
-    tolerance, range_ms = params["tolerance"], params.get("maxQueryRange") or None
-    keys = ["tenant_id", "acct"]
     rows = pay.where("ok").select("tenant_id", F.col("cdtr_acct").alias("acct"), "t_ms", "req_ms", "e2e", "amt",
                                   F.lit(True).alias("real"))
-    span = F.lit(0).cast("bigint") if range_ms is None else block_of(F.col("t_ms"), range_ms)
-    busy = (rows.groupBy(*keys, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > hot).select(*keys).distinct())
-
-    frame = Window.partitionBy(*keys).orderBy("t_ms").rangeBetween(
-        Window.unboundedPreceding if range_ms is None else -range_ms, 0)
-    quiet = (rows.join(busy, keys, "left_anti")
-             .select(*keys, "t_ms", F.collect_list(F.struct("req_ms", "e2e", "amt")).over(frame).alias("seen")))
-    a0 = F.array_max("seen")["amt"]
-    short = quiet.select(*keys, "t_ms", F.size("seen").cast("bigint").alias("n"), F.size(F.filter(
-        "seen", lambda i: F.abs(i["amt"] - a0) <= _dec(tolerance) * a0)).cast("bigint").alias("similar"))
-    long = _similar_hot(rows.join(busy, keys, "left_semi"), tolerance, range_ms)
-    found = short.dropDuplicates([*keys, "t_ms"]).unionByName(long)
-    wide = pay.withColumnRenamed("cdtr_acct", "acct").join(found, [*keys, "t_ms"], "left")
-    error = F.when(F.col("n").isNull(), F.lit(NO_HISTORY))
-    return results(wide, [outcome(doc, F.when(F.col("n") > 1, F.col("similar")),
-                                  F.when(F.col("n") <= 1, ".x01"), error)])
+    found = _similar(rows, params["tolerance"], params.get("maxQueryRange") or None)
+    wide = pay.withColumnRenamed("cdtr_acct", "acct").join(found, ["tenant_id", "acct", "t_ms"], "left")
+    error = (F.when(~F.col("ok"), F.lit(NO_X00)).when(F.col("n").isNull(), F.lit(NO_HISTORY))
+             .when(F.col("bad") > 0, F.lit(NOT_NUMERIC)))
+    return results(wide, [outcome(doc, F.when(F.col("n") > 1, F.col("similar")), F.when(F.col("n") <= 1, ".x01"), error)])
 
 
 def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> DataFrame:
     """Mirroring for one side: does the account's opposite flow, newest first, add up to the current amount?
 
     Value: the least number n of newest opposite payments in range whose sum is within tolerance of the target.
-    Payments of one millisecond enter together; amounts are not negative. No opposite flow: ``.x01``, no match
-    ``.x03``. Sums only grow with n, so the match is found by looking up one position in the running sum: first the
-    time block (from the block starts inside the range), then the moment inside that block.
+    Payments are ordered by (t_ms, e2e) and those up to the current millisecond take part; amounts are not negative.
+    No opposite flow: ``.x01``, no match ``.x03``. Sums only grow with n, so the match is found by looking up one position in the running sum: first the
+    time block (from the block starts inside the range), then the payment inside that block.
     """
     keys = ["tenant_id", "acct"]
     first = next(iter(docs.values()))["config"]["parameters"]
@@ -202,11 +193,17 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
     reached = F.filter("starts", lambda s: (s["b"] < F.col("x")) | ((s["b"] == F.col("x")) & (s["t"] <= F.col("t_ms"))))
     asks = asks.withColumn("block", F.array_max(reached)["block"]).drop("starts").where("block is not null")
 
-    moment = F.struct(F.col("t_ms").alias("t"), before.alias("b"), (F.col("n") - F.col("n_here")).alias("n"))
-    items = line.where(is_flow).select(*keys, "block", before.alias("x"), "t_ms", F.lit(0).alias("kind"),
-                                       moment.alias("hit"))
+    within = Window.partitionBy(*keys, "t_ms").orderBy("e2e").rowsBetween(Window.unboundedPreceding, -1)
+    flow = (settled.withColumnRenamed(other, "acct").select(*keys, "t_ms", "e2e", F.col("amt").cast(money).alias("a"))
+            .where("acct is not null").select(*keys, "t_ms", "e2e", F.coalesce(F.sum("a").over(within), F.lit(0)).alias("a"),
+                                              F.count("a").over(within).alias("k")))
+    lined = line.where(is_flow).select(*keys, "t_ms", "block", before.alias("b"), (F.col("n") - F.col("n_here")).alias("n0"))
+    at = (F.col("b") + F.col("a")).cast(money)
+    items = flow.join(lined, [*keys, "t_ms"]).select(
+        *keys, "block", at.alias("x"), "t_ms", "e2e", F.lit(0).alias("kind"),
+        F.struct(F.col("t_ms").alias("t"), at.alias("b"), (F.col("n0") + F.col("k")).alias("n")).alias("hit"))
     merged = items.unionByName(asks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    upto = (Window.partitionBy(*keys, "block").orderBy("x", "t_ms", "kind")
+    upto = (Window.partitionBy(*keys, "block").orderBy("x", "t_ms", "kind", "e2e")
             .rowsBetween(Window.unboundedPreceding, 0))
     hits = merged.withColumn("hit", F.last("hit", ignorenulls=True).over(upto)).where("kind = 1")
     summed = (F.col("c") - F.col("hit.b")).cast(money)
@@ -221,7 +218,8 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
     outs = []
     for rule, doc in docs.items():
         value = F.col(f"v_{rule}")
-        leaves = F.when(F.coalesce(F.col("n_in"), F.lit(0)) < 1, ".x01").when(value.isNull(), ".x03")
+        leaves = F.when(F.col("acct").isNotNull(), F.when(F.coalesce(F.col("n_in"), F.lit(0)) < 1, ".x01")
+                        .when(value.isNull(), ".x03"))
         outs.append(outcome(doc, value, leaves))
     return results(wide, outs)
 

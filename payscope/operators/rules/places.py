@@ -1,8 +1,7 @@
 """Rule 075: how often the debtor has paid from near this place before.
 
-Statistic (ours): settled prior payments of the debtor account within ``maxRadius`` km. Coordinates are compared at
-3 decimals (about 110 m), so a place has a bounded number of neighbouring places however long the history is.
-No settled prior payment at all: ``.x01``.
+Statistic (ours): settled prior payments of the debtor account within ``maxRadius`` km. Coordinates are compared
+as they are; payments at one place are folded to one row per millisecond first. No settled prior payment at all: ``.x01``.
 """
 from __future__ import annotations
 
@@ -16,7 +15,6 @@ from ..outcome import outcome, results
 from ..timeline import Measure, scan
 
 KM_PER_DEGREE = 111.0  # a little under the true length, so that cells are never too small
-PLACE_DECIMALS = 3
 
 
 def _band(lat: Column, size: float) -> Column:
@@ -50,9 +48,8 @@ def _neighbours(places: DataFrame, keys: list[str], radius_km: float) -> DataFra
 def habitual(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     doc = docs["075"]
     keys = ["tenant_id", "dbtr_acct"]
-    at = pay.withColumns({c: F.round(c, PLACE_DECIMALS) for c in ("lat", "lon")})
     one = F.when(F.col("ok"), F.lit(1).cast("bigint"))
-    moments = (at.where("lat is not null and lon is not null")
+    moments = (pay.where("lat is not null and lon is not null")
                .groupBy(*keys, "lat", "lon", "t_ms").agg(F.sum(one).alias("n")))
     pairs = _neighbours(moments.select(*keys, "lat", "lon").distinct(), keys, doc["config"]["parameters"]["maxRadius"])
     settled = (moments.where("n > 0").withColumnsRenamed({"lat": "n_lat", "lon": "n_lon"})
@@ -63,5 +60,5 @@ def habitual(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
         *keys, "lat", "lon", "t_ms", (F.col("n") - F.col("n_here")).alias("near"))
     history = scan(pay.select(*keys, "t_ms", F.lit(True).alias("real"), one.alias("n")), keys, "t_ms",
                    [Measure("n", here=True)]).select(*keys, "t_ms", (F.col("n") - F.col("n_here")).alias("prior"))
-    wide = at.join(near, [*keys, "lat", "lon", "t_ms"], "left").join(history, [*keys, "t_ms"])
+    wide = pay.join(near, [*keys, "lat", "lon", "t_ms"], "left").join(history, [*keys, "t_ms"], "left")
     return results(wide, [outcome(doc, F.col("near"), F.when(F.col("prior") < 1, ".x01"))])

@@ -45,18 +45,29 @@ def register_rule(rule: str, value: Callable[[DataFrame, dict], DataFrame]) -> N
 def evaluate_rules(pay: DataFrame, docs: Iterable[dict]) -> DataFrame:
     """Rule results (tenant_id, e2e, rule_id, cfg, value, sub_rule_ref, reason) for every payment and configuration.
 
-    Rules that read the same time line share one scan; families are independent and joined by union.
+    Rules that read the same time line share one scan; families are independent and joined by union. Several
+    configurations of one rule all give results; the same one twice is refused.
     """
-    by_rule = {d["id"].split("@")[0]: d for d in docs}
-    account.checked(by_rule)
-    parts, left = [], set(by_rule)
-    for rules, family in [*FAMILIES, *[((r,), f) for r, f in _PLUGINS.items()]]:
-        chosen = {r: by_rule[r] for r in rules if r in left}
-        if chosen:
-            parts.append(family(pay, chosen))
-            left -= set(chosen)
-    if left:
-        raise ValueError(f"no implementation for rules {sorted(left)}")
+    rounds: list[dict[str, dict]] = []
+    for doc in docs:
+        rule = doc["id"].split("@")[0]
+        if any(r.get(rule, {}).get("cfg") == doc["cfg"] for r in rounds):
+            raise ValueError(f"configuration {doc['cfg']} of rule {rule} is given twice")
+        free = next((r for r in rounds if rule not in r), None)
+        if free is None:
+            rounds.append(free := {})
+        free[rule] = doc
+    parts = []
+    for by_rule in rounds:
+        account.checked(by_rule)
+        left = set(by_rule)
+        for rules, family in [*FAMILIES, *[((r,), f) for r, f in _PLUGINS.items()]]:
+            chosen = {r: by_rule[r] for r in rules if r in left}
+            if chosen:
+                parts.append(family(pay, chosen))
+                left -= set(chosen)
+        if left:
+            raise ValueError(f"no implementation for rules {sorted(left)}")
     return reduce(DataFrame.unionByName, parts)
 
 

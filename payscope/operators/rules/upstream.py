@@ -60,5 +60,5 @@ def divergence(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     rows = pay.select("tenant_id", F.col("dbtr_acct").alias("acct"), "t_ms", F.lit(True).alias("real"),
                       F.lit(None).cast("bigint").alias("payees"))
     line = scan(rows, ["tenant_id", "acct"], "t_ms", [Measure("payees")], deltas=changes)
-    wide = pay.withColumnRenamed("dbtr_acct", "acct").join(line, ["tenant_id", "acct", "t_ms"])
+    wide = pay.withColumnRenamed("dbtr_acct", "acct").join(line, ["tenant_id", "acct", "t_ms"], "left")
     return results(wide, [outcome(doc, F.col("payees"))])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 
 MAX_BROADCAST_ROWS = 100_000
+DEFAULT_TENANT = "DEFAULT"
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -64,10 +65,19 @@ def weight_table(spark: SparkSession, docs: Iterable[Mapping]) -> DataFrame:
         terms = expression_terms(d["expression"])
         for rule in d["rules"]:
             for w in rule["wghts"]:
-                rows.append((d["cfg"], rule["id"].split("@")[0], rule["termId"], w["ref"], float(w["wght"]),
-                             terms.count(rule["termId"])))
-    return _table(spark, rows, "typology_cfg string, rule_id string, term_id string, sub_rule_ref string, "
-                               "weight double, factor int")
+                rows.append((owner(d), d["id"], d["cfg"], rule["id"].split("@")[0], rule["cfg"], rule["termId"], w["ref"],
+                             float(w["wght"]), terms.count(rule["termId"])))
+    return _table(spark, rows, "owner string, typology_id string, typology_cfg string, rule_id string, cfg string, "
+                               "term_id string, sub_rule_ref string, weight double, factor int")
+
+
+def owner(doc: Mapping) -> str | None:
+    """The tenant a document belongs to; null for the default configuration, which serves every tenant."""
+    return None if doc["tenantId"] == DEFAULT_TENANT else doc["tenantId"]
+
+
+def _serves(tenant: str = "tenant_id") -> Column:
+    return F.col("owner").isNull() | (F.col("owner") == F.col(tenant))
 
 
 def expression_terms(expression: Sequence) -> list[str]:
@@ -90,11 +100,13 @@ def typology_expression(expression: Sequence, term: Mapping[str, Column]) -> Col
 
 
 def rule_weight(results: DataFrame, weights: DataFrame) -> DataFrame:
-    """Weight of each outcome in each typology; an outcome the typology does not list weighs 0 and is flagged (ours)."""
-    known = weights.select("typology_cfg", "rule_id", "term_id", "factor").distinct()
-    listed = weights.select("typology_cfg", "rule_id", "sub_rule_ref", "weight")
-    return (results.join(known, "rule_id").join(listed, ["typology_cfg", "rule_id", "sub_rule_ref"], "left")
-            .withColumn("unknown_ref", F.col("weight").isNull()).na.fill({"weight": 0.0}))
+    """Weight of each outcome in each typology of its tenant that names the rule in this configuration; an outcome the
+    typology does not list weighs 0 and is flagged (ours). Lists of weights are configuration-sized."""
+    listed = weights.groupBy("owner", "typology_id", "typology_cfg", "rule_id", "cfg", "term_id", "factor").agg(
+        F.map_from_entries(F.collect_list(F.struct("sub_rule_ref", "weight"))).alias("by_ref"))
+    return (results.join(F.broadcast(listed), ["rule_id", "cfg"]).where(_serves())
+            .withColumn("weight", F.col("by_ref")[F.col("sub_rule_ref")])
+            .withColumn("unknown_ref", F.col("weight").isNull()).na.fill({"weight": 0.0}).drop("by_ref", "owner"))
 
 
 def typology_score(weighted: DataFrame) -> DataFrame:
@@ -121,8 +133,9 @@ def typology_decision(scores: DataFrame, typologies: DataFrame, flow: DataFrame
     With ``flow`` (tenant_id, e2e, outcome) a block forces interdiction where the typology names a flow processor,
     an override suppresses it (ours). A typology without an interdiction threshold never interdicts by score.
     """
-    limits = typologies.select("typology_cfg", "alert_threshold", "interdiction_threshold", "flow_processor").distinct()
-    rows = scores.join(limits, "typology_cfg")
+    limits = typologies.select(F.nullif(F.col("tenant_id"), F.lit(DEFAULT_TENANT)).alias("owner"), "typology_cfg",
+                               "alert_threshold", "interdiction_threshold", "flow_processor").distinct()
+    rows = scores.join(limits, "typology_cfg").where(_serves()).drop("owner")
     at_least = lambda c: F.coalesce(F.col("score") >= F.col(c), F.lit(False))
     interdict = at_least("interdiction_threshold")
     if flow is not None:
@@ -146,7 +159,7 @@ def evaluation_report(pay: DataFrame, results: DataFrame, members: DataFrame, de
 
     Lists hold the routed typologies and rules, so configuration bounds them.
     """
-    rules = (results.join(members, "rule_id").groupBy("tenant_id", "e2e", "typology_cfg")
+    rules = (results.join(members, ["rule_id", "cfg"]).where(_serves()).groupBy("tenant_id", "e2e", "typology_cfg")
              .agg(F.sort_array(F.collect_list(F.struct(
                  F.col("rule_id").alias("id"), "cfg", F.col("sub_rule_ref").alias("subRuleRef"), "reason"))).alias("rules")))
     typologies = (decisions.join(rules, ["tenant_id", "e2e", "typology_cfg"]).groupBy("tenant_id", "e2e")

@@ -122,7 +122,8 @@ def _(spark, d):
 def _reports(spark, d):
     p = pay(spark, d)
     ev = _count_eval(p)
-    members = ty.weight_table(spark, [TYPOLOGIES["999-901"], TYPOLOGIES["999-901-902"]]).select("typology_cfg", "rule_id").distinct()
+    members = ty.weight_table(spark, [TYPOLOGIES["999-901"], TYPOLOGIES["999-901-902"]]).select(
+        "owner", "typology_cfg", "rule_id", "cfg").distinct()
     return ty.evaluation_report(p, ev.results, members, ev.decisions)
 
 

@@ -1,6 +1,7 @@
 """The evaluation of a payment history: rules, weights, scores, decisions; and back-testing of changed rules."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,13 +34,24 @@ def evaluate(pay: DataFrame, rules: Sequence[dict], typologies: Sequence[dict],
 
 
 def evaluate_tenants(pay: DataFrame, rules: Sequence[dict], typologies: Sequence[dict]) -> DataFrame:
-    """Per-tenant configurations: each tenant's payments under its own documents; decisions of all tenants."""
-    out = None
-    for tenant in sorted({d["tenantId"] for d in rules}):
-        part = evaluate(pay.where(F.col("tenant_id") == tenant), [d for d in rules if d["tenantId"] == tenant],
-                        [t for t in typologies if t["tenantId"] == tenant]).decisions
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Per-tenant configurations: each tenant's payments under its own documents; decisions of all tenants.
+
+    Documents of several tenants that decide alike (same rule, configuration, parameters, limits) are evaluated in one
+    pass over the payments of all these tenants; scores, thresholds and weights are looked up by tenant in one plan.
+    """
+    alike: dict[str, list[dict]] = {}
+    for doc in rules:
+        deciding = {**doc["config"], **{part: [{k: v for k, v in x.items() if k != "reason"} for x in doc["config"].get(part) or []]
+                                        for part in ("bands", "exitConditions")}}
+        alike.setdefault(json.dumps([doc["id"], doc["cfg"], deciding], sort_keys=True), []).append(doc)
+    shared: dict[tuple[str, ...], list[dict]] = {}
+    for same in alike.values():
+        shared.setdefault(tuple(sorted(d["tenantId"] for d in same)), []).append(same[0])
+    results = None
+    for tenants, docs in shared.items():
+        part = evaluate_rules(pay.where(F.col("tenant_id").isin(*tenants)), docs)
+        results = part if results is None else results.unionByName(part)
+    return score_results(results, typologies).decisions
 
 
 def rule_backtest(pay: DataFrame, current: Sequence[dict], changed: Sequence[dict]) -> DataFrame:

@@ -39,11 +39,11 @@ def executive(pay: DataFrame) -> DataFrame:
 
 
 def fraud_trend(pay: DataFrame, status: DataFrame) -> DataFrame:
-    """Alerts per tenant and day with the mean of the last seven listed days."""
+    """Alerts per tenant and day with the mean of the listed days among the last seven."""
     daily = (pay.select("tenant_id", "e2e", _day().alias("day")).join(status, ["tenant_id", "e2e"])
              .groupBy("tenant_id", "day").agg(F.count(F.lit(1)).alias("events"),
                                               F.count(F.when(F.col("status") == "ALRT", 1)).alias("alerts")))
-    week = Window.partitionBy("tenant_id").orderBy("day").rowsBetween(-6, 0)
+    week = Window.partitionBy("tenant_id").orderBy(F.unix_date("day")).rangeBetween(-6, 0)
     return daily.select("tenant_id", F.col("day").cast("string").alias("day"), "events", "alerts",
                         F.round(F.avg("alerts").over(week), 6).alias("moving_avg"))
 

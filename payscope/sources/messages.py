@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_dir
+
 PACS002, PACS008 = "pacs.002.001.12", "pacs.008.001.10"
 PAIN001, PAIN013 = "pain.001.001.11", "pain.013.001.09"
 
@@ -112,9 +115,30 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def dedup_message(rows: DataFrame, order: Sequence[str], extra_key: Sequence[str] = ()) -> DataFrame:
-    """One row per (message_id, tenant_id), then one per (end_to_end_id, [tx_tp,] tenant_id); the first is kept."""
-    once = first_per_key(rows, ["tenant_id", "message_id"], order)
-    return first_per_key(once, ["tenant_id", "end_to_end_id", *extra_key], order)
+    """The rows that two unique keys, (message_id, tenant_id) and (end_to_end_id, [tx_tp,] tenant_id), accept in order.
+
+    A row is refused if a kept row has one of its keys; a refused row blocks nobody. A row that comes first under both
+    keys is kept, those that share a key with it are refused, and the few that are left are settled in the same way,
+    until none is. Mostly one pass does. Passes are written to the shared folder.
+    """
+    spark, one, two = rows.sparkSession, ["tenant_id", "message_id"], ["tenant_id", "end_to_end_id", *extra_key]
+    rest = [c for c in rows.columns if c not in order]
+    ranked = F.struct(*order, *rest)
+
+    def stored(frame: DataFrame) -> DataFrame:
+        path = shared_dir(spark, "settled")
+        frame.write.parquet(path)
+        return spark.read.parquet(path)
+
+    left, kept = stored(rows.distinct()), []
+    while True:
+        first = left.groupBy(*one).agg(F.min(ranked).alias("_row")).select("_row")
+        second = left.groupBy(*two).agg(F.min(ranked).alias("_row")).select("_row")
+        chosen = stored(first.intersect(second).select("_row.*").select(*rows.columns))
+        kept.append(chosen)
+        left = stored(left.join(chosen.select(*one), one, "left_anti").join(chosen.select(*two), two, "left_anti"))
+        if left.isEmpty() or chosen.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
 
 
 def map_payload(payloads: DataFrame, mapping: Mapping[str, dict], keep: Sequence[str] = ()) -> DataFrame:

@@ -67,9 +67,28 @@ def test_exits(spark):
 
 
 def test_unsuccessful_without_exit(spark):
-    """An unsettled payment without .x00 has no settled history of its own time: a data error, or no-exit message."""
-    ref, reason = evaluate(spark, [5], without_exit(config(), ".x00"), ok=False)
-    assert ref == ".err" and reason in (NO_HISTORY, NO_X00)
+    """An unsettled payment without .x00 ends in its error, whatever the history holds."""
+    for amounts in ([5], [5, 5], [5, 5, 5]):
+        assert evaluate(spark, amounts, without_exit(config(), ".x00"), ok=False) == (".err", NO_X00)
+
+
+def test_payment_without_a_number(spark):
+    rows = [("t", 0, "d", "c", "5.00", T0, True), ("t", 1, "d", "c", "baz", T0 - 1000, True),
+            ("t", 2, "d", "c", "7.00", T0 - 86_400_001 - 1000, True)]
+    pay = spark.createDataFrame(rows, "tenant_id string, e2e long, dbtr_acct string, cdtr_acct string, amt string, t_ms long, ok boolean")
+    pay = pay.withColumns({"amt": F.expr("try_cast(amt as decimal(18,2))"), "req_ms": F.col("t_ms")})
+    found = {r.e2e: (r.sub_rule_ref, r.reason) for r in evaluate_rules(pay, [config()]).collect()}
+    assert found[0] == found[1] == (".err", NOT_NUMERIC) and found[2][0] == ".x01"
+
+
+@pytest.mark.parametrize("tolerance, wanted", [(0.5, 3), (0.001, 1), (1.0, 3)])
+def test_widest_amounts(spark, tolerance, wanted):
+    doc = config(tolerance=tolerance)
+    rows = [("t", i, "d", "c", a, T0 + i, True) for i, a in enumerate(["9000000000000000.00", "8500000000000000.00",
+                                                                       "9999999999999999.99"])]
+    pay = spark.createDataFrame(rows, "tenant_id string, e2e long, dbtr_acct string, cdtr_acct string, amt string, t_ms long, ok boolean")
+    pay = pay.withColumns({"amt": F.col("amt").cast("decimal(18,2)"), "req_ms": F.col("t_ms")})
+    assert evaluate_rules(pay, [doc]).where("e2e = 2").first().value == wanted
 
 
 def test_history_errors(spark):
