@@ -255,7 +255,11 @@ def statements() -> dict[str, str]:
     s["history_errors"] = (f"SELECT CASE sub_rule_ref WHEN '.x01' THEN '.err' ELSE sub_rule_ref END AS sub_rule_ref, CASE sub_rule_ref WHEN '.x01' THEN "
                            f"'Insufficient History and no exit condition in config' WHEN '.x00' THEN 'Unsuccessful transaction' WHEN '.01' THEN '{reasons['.01']}' "
                            f"ELSE '{reasons['.02']}' END AS reason, count(*) AS n FROM ({rule_sql('021')}) GROUP BY 1, 2")
-    s["validate_rule_config"] = f"{WITH}, {CONFIG} SELECT id, 'Invalid config provided - bands not provided' AS error FROM conf"
+    tolerance = "'Invalid config provided - tolerance parameter not provided or invalid type'"
+    s["validate_rule_config"] = (
+        "SELECT 'rule-' || p_partkey AS id, CASE p_partkey % 6 WHEN 1 THEN 'Invalid config provided - bands not provided' "
+        "WHEN 2 THEN 'Invalid config provided - exitConditions not provided' "
+        f"WHEN 3 THEN {tolerance} WHEN 4 THEN {tolerance} WHEN 5 THEN 'Invalid config provided - bands not provided' END AS error FROM part")
     s["rule_weight"] = f"{base} SELECT tenant_id, e2e, rule_id, sub_rule_ref, weight, false AS unknown_ref FROM weighed"
     s["typology_expression"] = f"{base} SELECT tenant_id, e2e, score FROM scores WHERE typology_cfg = '999-901-902@4.0.0'"
     s["typology_alert"] = f"{base} SELECT tenant_id, e2e, typology_cfg, score, alert FROM decisions"

@@ -37,6 +37,21 @@ def validate_rule_config(doc: Mapping, numeric: tuple[str, ...] = ()) -> None:
                              f"Invalid config provided - {name} parameter not provided or invalid type")
 
 
+def rule_document_faults(documents: DataFrame, column: str = "configuration", numeric: tuple[str, ...] = ()) -> DataFrame:
+    """Stored rule documents (JSON in ``column``) with ``error``, the first fault that ``validate_rule_config`` raises;
+    null for a usable document. A document that is no JSON lacks everything."""
+    doc = F.try_parse_json(column)
+    listed = F.coalesce(F.size(F.try_variant_get(doc, "$.config.bands", "array<variant>")), F.lit(0)) > 0
+    cases = F.try_variant_get(doc, "$.config.cases", "variant").isNotNull()
+    exits = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, "$.config.exitConditions", "variant")), F.lit("VOID"))
+    error = F.when(~listed & ~cases, F.lit(NO_BANDS)).when(exits == "VOID", F.lit(NO_EXITS))
+    for name in numeric:
+        kind = F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.config.parameters.{name}", "variant")), F.lit("VOID"))
+        error = error.when(~kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.lit(
+            BAD_TOLERANCE if name == "tolerance" else f"Invalid config provided - {name} parameter not provided or invalid type"))
+    return documents.withColumn("error", error)
+
+
 def exit_refs(doc: Mapping) -> dict[str, str]:
     return {e["subRuleRef"]: e["reason"] for e in doc["config"].get("exitConditions") or []}
 

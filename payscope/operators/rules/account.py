@@ -18,6 +18,7 @@ from ..timeline import Measure, coverage, scan
 DEBTOR_RULES = ("002", "004", "007", "010", "017", "044", "048", "054", "074", "076", "901")
 CREDITOR_RULES = ("001", "003", "011", "016", "020", "045", "063", "902")
 
+HALF = 10 ** 9  # amounts in cents are kept as high and low part, whose products and their sums are exact
 _BENFORD = {"054", "063"}
 _VOLUME = {"010", "011"}
 _ZSCORE = {"020", "048"}
@@ -61,9 +62,11 @@ def _measures(docs: Mapping[str, dict]) -> dict[str, tuple[Measure, Column | Non
             add(name, Measure(name, range_ms=params.get("maxQueryRange")), one)
         elif rule in _ZSCORE:
             add("z_n", Measure("z_n", here=True), one)
-            apart = (amt - F.col("ref")).cast("decimal(19,2)")
-            add("z_sum", Measure("z_sum", here=True), F.when(ok, apart.cast("decimal(30,2)")))
-            add("z_sq", Measure("z_sq", here=True), F.when(ok, apart.cast("double") * apart.cast("double")))
+            cents = ((amt - F.col("ref")) * 100).cast("bigint")
+            high = F.call_function("div", cents, F.lit(HALF))
+            low = cents - high * HALF
+            for name, part in (("h", high), ("l", low), ("hh", high * high), ("hl", high * low), ("ll", low * low)):
+                add(f"z_{name}", Measure(f"z_{name}", here=True), F.when(ok, part.cast("decimal(28,0)")))
             add("z_low", Measure("z_low", "min"), F.when(ok, amt))
             add("z_high", Measure("z_high", "max"), F.when(ok, amt))
         elif rule in _BENFORD:
@@ -136,11 +139,14 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
     if rule in _ZSCORE:
         # amounts are taken from the account's first one: it is among the prior ones, so nothing cancels
         n = F.col("z_n") - F.col("z_n_here")
-        total = (F.col("z_sum") - F.col("z_sum_here")).cast("double")
-        scatter = F.greatest(n * (F.col("z_sq") - F.col("z_sq_here")) - total * total, F.lit(0.0))
+        before = {k: F.col(f"z_{k}") - F.col(f"z_{k}_here") for k in ("h", "l", "hh", "hl", "ll")}
+        spread = lambda xy, x, y: (n.cast("decimal(10,0)") * before[xy].cast("decimal(28,0)")
+                                   - before[x].cast("decimal(19,0)") * before[y].cast("decimal(19,0)")).cast("double")
+        scatter = (spread("hh", "h", "h") * HALF + 2 * spread("hl", "h", "l")) * HALF + spread("ll", "l", "l")
+        total = before["h"].cast("double") * HALF + before["l"].cast("double")
         flat = F.col("z_low") == F.col("z_high")
         leaves = F.when(n < 1, ".x01").when(flat & (F.col("amt") > F.col("z_high")), ".x03").when(flat, ".x04")
-        apart = (F.col("amt") - F.col("ref")).cast("double") - total / n
+        apart = ((F.col("amt") - F.col("ref")) * 100).cast("double") - total / n
         return F.when((n > 0) & ~flat, apart / (F.sqrt(scatter) / n)), leaves
     if rule in _BENFORD:
         counts = [F.col(f"d{d}") for d in range(1, 10)]

@@ -14,7 +14,7 @@ from ..operators import conditions as co
 from ..operators import history as hi
 from ..operators import timeline as tl
 from ..operators import typology as ty
-from ..operators.outcome import determine_outcome_band, determine_outcome_case
+from ..operators.outcome import determine_outcome_band, determine_outcome_case, rule_document_faults
 from ..operators.rules import evaluate_rule, evaluate_rules, register_rule
 from ..sources import messages as ms
 from ..sources import tables as tb
@@ -281,7 +281,7 @@ def _(spark, d):
 
 @query("etl_extract")
 def _(spark, d):
-    new = tb.etl_extract(pay(spark, d), "t_ms", JAN_15).select(
+    new = tb.etl_extract(pay(spark, d, since=JAN_15 + 1), "t_ms", JAN_15).select(
         "tenant_id", "e2e", "t_ms", F.floor(F.col("t_ms") / DAY).cast("int").alias("day"))
     return _write(spark, new, "bronze", ["tenant_id", "day"])
 
@@ -344,7 +344,9 @@ def _(spark, d):
 
 @query("doc_search")
 def _(spark, d):
-    return dc.doc_search(table(spark, d, "documents"), "doc_id", "text", ["the", "with", "der", "que"], 20)
+    index = tb.shared_dir(spark, "doc-index")
+    dc.write_index(table(spark, d, "documents"), "doc_id", "text", index)
+    return dc.doc_search(spark, index, ["the", "with", "der", "que"], 20)
 
 
 # ---- filters -----------------------------------------------------------------------------------------------------
@@ -361,7 +363,8 @@ def _(spark, d):
 
 @query("time_range_filter")
 def _(spark, d):
-    return hi.time_range_filter(pay(spark, d), "t_ms", JAN_15, 7 * DAY).select("tenant_id", "e2e", "t_ms")
+    near = pay(spark, d, since=JAN_15 - 7 * DAY, before=JAN_15 + 1)
+    return hi.time_range_filter(near, "t_ms", JAN_15, 7 * DAY).select("tenant_id", "e2e", "t_ms")
 
 
 @query("distinct_e2e")
@@ -604,10 +607,18 @@ def _(spark, d):
 
 @query("validate_rule_config")
 def _(spark, d):
-    """Data-side check of stored rule documents: which lack bands or exits."""
-    docs = _config_documents(spark, d).select(F.get_json_object("configuration", "$.id").alias("id"),
-                                              F.get_json_object("configuration", "$.config.bands").alias("bands"))
-    return docs.select("id", F.when(F.col("bands").isNull(), "Invalid config provided - bands not provided").alias("error"))
+    """Stored rule documents, one for each part, whose key decides which fault they have."""
+    fault = F.col("p_partkey") % 6
+    members = F.concat_ws(
+        ",", F.when(fault == 3, '"parameters":{}').when(fault == 4, '"parameters":{"tolerance":"zero point two"}')
+        .otherwise(F.concat(F.lit('"parameters":{"tolerance":'), F.lit("0."), F.col("p_size"), F.lit("}"))),
+        F.when(fault != 2, '"exitConditions":[{"subRuleRef":".x00","reason":"Unsuccessful transaction"}]'),
+        F.when(fault == 5, '"bands":[]').when(fault != 1, '"bands":[{"subRuleRef":".01","upperLimit":2,"reason":"few"}]'))
+    docs = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit('{"id":"rule-'), "p_partkey", F.lit('","cfg":"1.0.0","config":{'), members, F.lit("}}"))
+        .alias("configuration"))
+    faults = rule_document_faults(docs, "configuration", ("tolerance",))
+    return faults.select(F.get_json_object("configuration", "$.id").alias("id"), "error")
 
 
 # ---- typology ----------------------------------------------------------------------------------------------------

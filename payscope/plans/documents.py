@@ -3,11 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_dir, write_table
-
 WORD = r"[\p{L}\p{N}]+"
 # Markup removed in order: (pattern, replacement).
 MARKUP = [(r"(?is)<script[^>]*>.*?</script>", " "), (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "),
@@ -33,30 +31,21 @@ def doc_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return postings.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
 
 
-def doc_search(docs: DataFrame, doc: str, text: str, terms: Sequence[str], k: int,
-               k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top ``k`` documents by BM25.
-
-    One pass over the texts writes a narrow table (length and the query's term counts); statistics and scores read that.
-    """
-    # a one-element generator: the filters below stay above it and do not split the text again
-    sized = docs.select(F.col(doc).alias("doc_id"), F.explode(F.array(
-        F.regexp_extract_all(F.lower(text), F.lit(WORD), 0))).alias("words"))
-    wanted = sorted(set(terms))
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("words", lambda w: w == term))
-
-    counts = [occurrences(t).alias(f"tf_{i}") for i, t in enumerate(wanted)]
-    spark = docs.sparkSession
-    sized = write_table(sized.select("doc_id", F.size("words").alias("len"), *counts), shared_dir(spark, "search"), "replace")
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"),
-                      *[F.count(F.when(F.col(f"tf_{i}") > 0, 1)).alias(f"df_{i}") for i in range(len(wanted))])
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        tf, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # the statistics are one row, so this join is a broadcast of a single row
-    hits = sized.where(" OR ".join(f"tf_{i} > 0" for i in range(len(wanted)))).join(F.broadcast(stats), how="cross")
-    return (hits.select("doc_id", F.round(score, 6).alias("score"))
+def write_index(docs: DataFrame, doc: str, text: str, folder: str) -> None:
+    """Store the index: ``postings``, sorted by term so that a search reads few row groups, and ``lengths``."""
+    (doc_index(docs, doc, text).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+     .write.parquet(f"{folder}/postings"))
+    (docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)), F.lit(0))
+                 .alias("len")).write.parquet(f"{folder}/lengths"))
+
+
+def doc_search(spark: SparkSession, folder: str, terms: Sequence[str], k: int, k1: float = 1.2,
+               b: float = 0.75) -> DataFrame:
+    """Top ``k`` documents by BM25 from a stored index: postings of the query's terms and the documents' lengths."""
+    lengths = spark.read.parquet(f"{folder}/lengths")
+    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("len")).first()
+    postings = spark.read.parquet(f"{folder}/postings").where(F.col("term").isin(*sorted(set(terms))))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
+    return (postings.join(lengths, "doc_id").groupBy("doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
             .orderBy(F.col("score").desc(), "doc_id").limit(k))

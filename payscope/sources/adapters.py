@@ -5,6 +5,8 @@ cdtr_acct, amt, ccy, req_ms (transfer time), t_ms (status time), ok (settled), d
 """
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +46,15 @@ def pay_from_events(events: DataFrame, *keep: str) -> DataFrame:
         F.date_add(F.lit("1950-01-01").cast("date"), ((u * 397) % 23000).cast("int")).alias("birth_date"))
 
 
-def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pay_from_events(table(spark, sf_dir, "events"))
+def pay(spark: SparkSession, sf_dir: str, since: int | None = None, before: int | None = None) -> DataFrame:
+    """Payments with ``since <= t_ms < before``; the bounds are put on the stored ``ts``, so they reach the scan."""
+    events = table(spark, sf_dir, "events")
+    at = lambda ms: F.lit(str(datetime(1970, 1, 1) + timedelta(milliseconds=ms))).cast("timestamp_ntz")
+    if since is not None:
+        events = events.where(F.col("ts") >= at(since))
+    if before is not None:
+        events = events.where(F.col("ts") < at(before))
+    return pay_from_events(events)
 
 
 def pay_from_history(messages: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def enrich_join(transactions: DataFrame, enrichment: DataFrame, on: Mapping[str,
 
 
 def etl_extract(history: DataFrame, time: str, high_water: int, until: int | None = None) -> DataFrame:
-    """Rows newer than the last extract; the bound is a plain column filter, so it reaches the scan."""
+    """Rows newer than the last extract. The bound is a plain column filter: it reaches the scan where ``time`` is stored;
+    for a computed time give the source its own bound as well (see ``adapters.pay``)."""
     rows = history.where(F.col(time) > high_water)
     return rows if until is None else rows.where(F.col(time) <= until)
 
