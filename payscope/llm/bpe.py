@@ -24,10 +24,11 @@ from payscope.sources.tables import shared_dir
 from .words import INNER_SPACE, space_led_words
 
 #: Characters of a chunk, about (one longer document is a chunk of its own), and bytes of text for each word bucket.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 30_000_000
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
 MOST_BUCKETS = 1 << 16
+LEVEL = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +40,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def _packed(array: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(array.tobytes(), 3)
+    return zstandard.compress(array.tobytes(), LEVEL)
 
 
 def _unpacked(data: bytes, dtype: str) -> np.ndarray:
@@ -51,7 +52,7 @@ def _unpacked(data: bytes, dtype: str) -> np.ndarray:
 def pack_strings(items: list[bytes]) -> bytes:
     import zstandard
 
-    return zstandard.compress(b"".join([np.array([len(items), *map(len, items)], "<u4").tobytes(), *items]), 3)
+    return zstandard.compress(b"".join([np.array([len(items), *map(len, items)], "<u4").tobytes(), *items]), LEVEL)
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
@@ -125,7 +126,7 @@ class _Chunk:
         place[order] = np.arange(len(words))
         import zstandard
 
-        return {"words": pack_strings(words[order].tolist()), "positions": zstandard.compress(to_varints(place[flat]), 3),
+        return {"words": pack_strings(words[order].tolist()), "positions": zstandard.compress(to_varints(place[flat]), LEVEL),
                 "counts": [len(f) // 4 for f in found]}
 
 
