@@ -60,8 +60,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, text: str = "t
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sample = (narrow.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("text").alias("h")).distinct()
-              .orderBy("h", "text").limit(SAMPLE_DOCS).select("text"))
+    hashed = narrow.where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS)
+    sample = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").select("text")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         book = encoder(tokenizer)

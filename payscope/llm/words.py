@@ -1,30 +1,35 @@
-"""Encoding with the tokenizers library, one distinct space-led word at a time.
+"""Encoding with the tokenizers library, one distinct pre-token at a time.
 
 A byte-level tokenizer cuts a text before every space that is followed by a character other than white space, whatever
-stands around it, so the ids of a text are those of its space-led words one after another. Each distinct word is encoded
-once per batch, and the words met first are kept for later batches. Texts with a space inside a longer run of white
-space, where the cut would be elsewhere, are encoded as they are.
+stands around it, so the ids of a text are those of its space-led words one after another, and the ids of a word are
+those of its pre-tokens. Each distinct pre-token is encoded by the library once per batch; those met first, and the words
+met first, are kept for later batches. Texts with a space inside a longer run of white space, where the cut would be
+elsewhere, are cut into pre-tokens as a whole.
 """
 from __future__ import annotations
 
+import itertools
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A space between two white-space characters: there a word does not begin at the space. Python's class of white space
 #: holds every character of the tokenizer's class.
 INNER_SPACE = re.compile(r"\s \s")
-#: Words kept by one Python worker (about 100 MB at most), and characters of new words given to the library at once.
-KEPT_WORDS = 400_000
+#: Words and pre-tokens kept by one Python worker (about 100 MB at most), and characters given to the library at once.
+KEPT_WORDS = 450_000
 ENCODE_CHARS = 200_000
 #: Characters of text in one batch of documents; one longer document makes a batch of its own.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 4_000_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -36,38 +41,61 @@ def space_led_words(text: str) -> list[str]:
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 16-bit or 32-bit integers, without special tokens."""
+    """Ids of whole texts as little-endian 16-bit or 32-bit integers, without special tokens.
 
-    def __init__(self, path: str) -> None:
+    ``pattern`` is the one by which the tokenizer's byte-level step cuts; the library then gets the pieces as they are.
+    """
+
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.find = regex.compile(pattern).findall
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}  # a pre-token is a word of its own, so one table holds both
 
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
+    def _library(self, tokens: list[str]) -> Iterator[bytes]:
+        code = "H" if self.dtype.itemsize == 2 else "I"
         start = chars = 0
-        for i, text in enumerate(texts):
-            chars += len(text)
-            if chars >= ENCODE_CHARS or i + 1 == len(texts):
-                for found in self.tokenizer.encode_batch_fast(texts[start:i + 1], add_special_tokens=False):
-                    yield np.array(found.ids, self.dtype).tobytes()
+        for i, token in enumerate(tokens):
+            chars += len(token)
+            if chars >= ENCODE_CHARS or i + 1 == len(tokens):
+                for found in self.tokenizer.encode_batch_fast(tokens[start:i + 1], add_special_tokens=False):
+                    ids = array(code, found.ids)
+                    if sys.byteorder == "big":
+                        ids.byteswap()
+                    yield ids.tobytes()
                 start, chars = i + 1, 0
 
+    def _learn(self, words: list[str]) -> None:
+        """Put words among those known. A space and letters are one pre-token; anything else is left to the pattern."""
+        known = self.known
+        plain = [word for word in words if word[0] == " " and word[1:].isalpha()]
+        other = list(set(words).difference(plain))
+        cut = [self.find(word) for word in other]
+        fresh = list(set().union(*cut) - known.keys())
+        known.update(zip(plain, self._library(plain)))
+        fresh = [token for token in fresh if token not in known]
+        known.update(zip(fresh, self._library(fresh)))
+        get = known.__getitem__
+        known.update(zip(other, [b"".join(map(get, own)) for own in cut]))
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = ["" if text is None else text for text in texts]
-        plain = [INNER_SPACE.search(text) is None for text in texts]
-        words = [space_led_words(text) if simple else [text] for text, simple in zip(texts, plain)]
-        fresh = list(set().union(*words) - self.kept.keys()) if words else []
-        known, more = self.kept, dict(zip(fresh, self._library(fresh)))
-        if len(known) + len(more) <= KEPT_WORDS:
-            known.update(more)
-            get = known.get
-            return [b"".join(map(get, own)) for own in words]
-        return [b"".join([known.get(w) or more.get(w, b"") for w in own]) for own in words]
+        words = [[text] if INNER_SPACE.search(text) else space_led_words(text) for text in texts]
+        held = len(self.known)
+        self._learn(list(set().union(*words) - self.known.keys()))
+        get = self.known.__getitem__
+        ids = [b"".join(map(get, own)) for own in words]
+        if len(self.known) > KEPT_WORDS:  # what came last goes
+            for word in list(itertools.islice(reversed(self.known), len(self.known) - max(held, 1))):
+                del self.known[word]
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:

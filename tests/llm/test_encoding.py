@@ -32,7 +32,7 @@ def crc(ids) -> int:
 
 
 def test_words_give_the_librarys_ids(library, monkeypatch):
-    monkeypatch.setattr(words, "KEPT_WORDS", 60)  # also past the words kept
+    monkeypatch.setattr(words, "KEPT_WORDS", 60)  # also past what is kept
     book = words.WordEncoder(JSON)
     every = [*NASTY, None, *(chr(c) + " a" + chr(c) + " " + chr(c) + "b" for c in range(1, 0x3100, 7))]
     for _ in range(2):
