@@ -130,5 +130,10 @@ def judged(docs: DataFrame, text: str = "text", limits: tuple[Limit, ...] = THRE
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text passes, with the table's own columns."""
-    return judged(docs, text).where("kept").select("row.*")
+    """The rows whose text passes, with the table's own columns.
+
+    The verdict passes a one-element generator: a filter would otherwise be pushed below the measures and compute the
+    words again for each limit.
+    """
+    verdict = judged(docs, text).select("row", F.explode(F.array("kept")).alias("kept"))
+    return verdict.where("kept").select("row.*")
