@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from payscope.sources.tables import shared_dir
 
-from . import (bpe, line_spread, masked_lm, packing, piecewise, preferences, quality, sharding, simhash, token_store,
-               words)
+from . import (bpe, line_spread, masked_lm, packing, piecewise, preferences, quality, ranked_search, sharding, simhash,
+               source_schedule, statements, token_store, turn_repair, words)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +86,32 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def pipelined_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=20)
+
+
+def hirschberg_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest audit and repaired digest of every conversation after damage."""
+    turns = table(spark, folder, "conversations")
+    repair = turn_repair.Repair(turn_repair.damage(turns))
+    found = repair.report().withColumnRenamed("conv_id", "of")
+    digests = repair.digests().withColumnRenamed("conv", "known")
+    zero = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (turns.select("conv_id").distinct()
+            .join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+            .join(digests, F.col("conv_id").eqNullSafe(F.col("known")), "left")
+            .select("conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in zero],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return source_schedule.mix(table(spark, folder, "documents")).taken.select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_histogram_shards": histogram_shards,
     "op2_token_files": token_files,
@@ -97,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_spread_dedup": line_spread_dedup,
     "op9_quality_rules": quality_rules,
     "op10_simhash_near_dedup": simhash_near_dedup,
+    "op11_pipelined_search": pipelined_search,
+    "op12_hirschberg_repair": hirschberg_repair,
+    "op13_source_schedule": source_mix,
 }
 
 _WORDS = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -170,4 +199,7 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   AND {_SHARE.format("n_dup_lines", "n_lines", 0)} <= 0.3 AND {_SHARE.format("n_bullet", "n_lines", 0)} <= 0.9
   AND {_SHARE.format("n_ellipsis", "n_lines", 0)} <= 0.3 AS kept
 FROM b""",
+    "op11_pipelined_search": statements.SEARCH,
+    "op12_hirschberg_repair": statements.REPAIR,
+    "op13_source_schedule": statements.MIX,
 }
