@@ -13,7 +13,8 @@ the source's cells ``[first, end)`` are counted by two divisions for each bit, s
 
 Nulls: a null text has size 0, a null source is a source of its own (the last one), a null key is a key like any other.
 Rows equal in key, source and size are laid one after another and share their takes in any order (their number must fit
-an array). An empty table, and documents without words, give no slots and take 0. Other columns are left out, so their names cannot clash.
+an array). An empty table, and documents without words, give no slots and take 0. Other columns are left out, so their
+names cannot clash.
 """
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block, documents in one group of a shuffled line, and cells of the grid that one task unrolls at once.
 BLOCK = 256
 LINE_ROWS = 4096
-CELLS = 1 << 16
+CELLS = 1 << 14
 
 
 class Mix(NamedTuple):
@@ -77,10 +78,12 @@ def plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float,
 
 
 def schedule(plan: DataFrame) -> DataFrame:
-    """``no, r, slot``: the slot that takes block ``r`` of a source, for every block of every source."""
+    """``no, r, slot``: the slot that takes block ``r`` of a source, for every block of every source. Its rows are made
+    from few, so the tasks are named: Spark would take so small an input to one."""
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = plan.where("blocks > 0").select(
         "no", "first", "end", "bits", F.explode(F.sequence("first", F.col("end") - 1, F.lit(CELLS))).alias("chunk"))
-    cells = (chunks.repartition("chunk").select(
+    cells = (chunks.repartition(tasks, "chunk").select(
         "no", "first", "end", "bits", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CELLS, "end") - 1)).alias("j")))
     rank = F.aggregate(
         F.sequence(F.lit(0), F.col("bits") - 1), F.lit(0).cast("long"),
@@ -152,7 +155,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     planned = _stored(spark, "mix-plan", plan(sizes, weights, share, most, block))
     lined = _cuts(lines(sizes, planned, seed), most, block)
     slots = schedule(planned)
-    joined = lined.join(slots, ["no", "r"], "left")
+    # the schedule grows with the input, though Spark sees only the few rows it is made from
+    joined = lined.join(slots.hint("merge"), ["no", "r"], "left")
     pieces = (joined.where("slot is not null")
               .select("slot", "source", "r", F.col("key").alias(key), "copy", "start", "length"))
     taken = joined.groupBy("key", "source", "size", "copy").agg(
