@@ -357,7 +357,7 @@ def statements() -> dict[str, str]:
     s["stream_pair"] = f"{WITH} SELECT tenant_id, e2e, CAST(amt AS DOUBLE) AS amt, ok FROM pay"
     s["stream_velocity"] = (f"{WITH} SELECT tenant_id, dbtr_acct, (t_ms // {DAY}) * {DAY} AS window_ms, count(*) AS payments FROM pay "
                             f"WHERE (t_ms // {DAY} + 1) * {DAY} <= (SELECT max(t_ms) FROM pay) - 3600000 GROUP BY 1, 2, 3")
-    s["stream_rules"] = " UNION ALL ".join(f"SELECT tenant_id, e2e, '{r}' AS rule_id, value, sub_rule_ref FROM ({rule_sql(r)})" for r in ("045", "901", "902"))
+    s["stream_rules"] = " UNION ALL ".join(f"SELECT tenant_id, e2e, '{r}' AS rule_id, value, sub_rule_ref FROM ({rule_sql(r)})" for r in [*FULL_SET, "901", "902"])
     s["stream_typology"] = f"{base} SELECT tenant_id, e2e, typology_cfg, score, alert, interdict FROM decisions"
     s["stream_alerts"] = f"{base}, {status} SELECT tenant_id, e2e, status FROM status WHERE status = 'ALRT'"
     half = 1_704_067_200_000 + 15 * DAY + 1

@@ -7,29 +7,44 @@ Only settled payments contribute; unsettled ones still get a result. "Prior" is
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...config.rules import rule_config
 from ...functions import haversine, leading_digit, levenshtein_distance
 from ..outcome import outcome, results, validate_rule_config
-from ..timeline import Measure, coverage, scan
+from ..timeline import FOLD, Measure, coverage, scan
+
+if TYPE_CHECKING:
+    from ..kept import Kept
 
 DEBTOR_RULES = ("002", "004", "007", "010", "017", "044", "048", "054", "074", "076", "901")
 CREDITOR_RULES = ("001", "003", "011", "016", "020", "045", "063", "902")
 
 HALF = 10 ** 9  # amounts in cents are kept as high and low part, whose products and their sums are exact
 _BENFORD = {"054", "063"}
-_VOLUME = {"010", "011"}
+VOLUME = {"010", "011"}
+BIN_MS = 86_400_000  # the interval of the volume rules that kept totals are made for
 _ZSCORE = {"020", "048"}
 _DISTINCT = {"002": "in", "016": "in", "017": "out"}
 
 
-def pair_scan(pay: DataFrame) -> DataFrame:
+def fresh(kept: "Kept | None") -> Column:
+    """Payments that are not in the kept totals; without kept totals, all."""
+    return F.lit(True) if kept is None else ~F.col("carried")
+
+
+def pair_scan(pay: DataFrame, kept: "Kept | None" = None) -> DataFrame:
     """Per (tenant, debtor account, creditor account, t): settled payments so far and the previous settled time."""
     settled_at = F.when(F.col("ok"), F.col("t_ms"))
     rows = pay.select("tenant_id", "dbtr_acct", "cdtr_acct", "t_ms", F.lit(True).alias("real"),
-                      F.col("ok").cast("bigint").alias("pair_n"), settled_at.alias("pair_prev"))
+                      F.when(fresh(kept), F.col("ok").cast("bigint")).alias("pair_n"), settled_at.alias("pair_prev"))
+    if kept is not None:
+        rows = rows.unionByName(kept.pairs.select(
+            "tenant_id", "dbtr_acct", "cdtr_acct", F.lit(kept.closed - 1).alias("t_ms"), F.lit(False).alias("real"), "pair_n",
+            F.lit(None).cast("bigint").alias("pair_prev")))
     return scan(rows, ["tenant_id", "dbtr_acct", "cdtr_acct"], "t_ms",
                 [Measure("pair_n", here=True), Measure("pair_prev", "max")])
 
@@ -55,7 +70,7 @@ def _measures(docs: Mapping[str, dict]) -> dict[str, tuple[Measure, Column | Non
             add("last_text", Measure("last_text", "max"), F.when(ok, F.struct("t_ms", "e2e", "descr")))
         elif rule == "074":
             add("last_place", Measure("last_place", "max"), F.when(ok, F.struct("t_ms", "e2e", "lat", "lon")))
-        elif rule in ("044", "045") or rule in _VOLUME:
+        elif rule in ("044", "045") or rule in VOLUME:
             add("n_all", Measure("n_all"), one)
         elif rule in ("901", "902"):
             name = f"n_{rule}"
@@ -92,17 +107,26 @@ def _distinct_steps(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame | Non
     return steps
 
 
-def _bins(pay: DataFrame, acct: str, interval: int) -> DataFrame:
-    """Per account and interval: settled payments in all earlier intervals, their squares, first active interval."""
+def _bin_counts(pay: DataFrame, acct: str, interval: int) -> DataFrame:
     k = F.floor(F.col("t_ms") / interval).cast("bigint")
-    counts = (pay.groupBy("tenant_id", F.col(acct).alias("acct"), k.alias("bin"))
-              .agg(F.sum(F.col("ok").cast("bigint")).alias("n")))
+    n = F.col("n").cast("decimal(15,0)")
+    return (pay.groupBy("tenant_id", F.col(acct).alias("acct"), k.alias("bin"))
+            .agg(F.sum(F.col("ok").cast("bigint")).alias("n"))
+            .select("tenant_id", "acct", "bin", F.col("n").alias("bin_sum"), (n * n).alias("bin_sq"),
+                    F.when(F.col("n") > 0, F.col("bin")).alias("bin_first")))
+
+
+def _bins(pay: DataFrame, acct: str, interval: int, kept: "Kept | None" = None) -> DataFrame:
+    """Per account and interval: settled payments in all earlier intervals, their squares, first active interval."""
+    counts = _bin_counts(pay.where(fresh(kept)), acct, interval)
+    if kept is not None:
+        before = (kept.debtor if acct == "dbtr_acct" else kept.creditor).where("bin_sum is not null")
+        counts = counts.unionByName(before.select(
+            "tenant_id", "acct", F.lit(kept.closed // interval - 1).alias("bin"), "bin_sum", "bin_sq", "bin_first"))
     earlier = (Window.partitionBy("tenant_id", "acct").orderBy("bin")
                .rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("tenant_id", "acct", "bin", F.sum("n").over(earlier).alias("bin_sum"),
-                         F.sum(F.col("n").cast("decimal(15,0)") * F.col("n").cast("decimal(15,0)"))
-                         .over(earlier).alias("bin_sq"),
-                         F.min(F.when(F.col("n") > 0, F.col("bin"))).over(earlier).alias("bin_first"))
+    return counts.select("tenant_id", "acct", "bin", F.sum("bin_sum").over(earlier).alias("bin_sum"),
+                         F.sum("bin_sq").over(earlier).alias("bin_sq"), F.min("bin_first").over(earlier).alias("bin_first"))
 
 
 def _count_spread(n: Column, total: Column, squares: Column) -> tuple[Column, Column, Column]:
@@ -165,31 +189,78 @@ def _rule_columns(rule: str, doc: dict) -> tuple[Column, Column | None]:
     return F.when(~short & ~flat, (now - mean) / sd), leaves
 
 
-def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> DataFrame:
-    measures = _measures(docs)
-    if _ZSCORE & set(docs):
-        refs = (pay.where("ok").groupBy("tenant_id", own)
-                .agg(F.min_by("amt", F.when(F.col("amt").isNotNull(), F.struct("t_ms", "e2e"))).alias("ref")))
-        pay = pay.join(refs, ["tenant_id", own], "left")
-    given = pay.withColumn("digit", leading_digit(F.col("amt"))) if _BENFORD & set(docs) else pay
+def _with_refs(pay: DataFrame, own: str, known: DataFrame | None = None, kept: "Kept | None" = None) -> DataFrame:
+    """Adds ``ref``, the account's first amount; one that is ``known`` stays."""
+    refs = (pay.where(F.col("ok") & fresh(kept)).groupBy("tenant_id", own)
+            .agg(F.min_by("amt", F.when(F.col("amt").isNotNull(), F.struct("t_ms", "e2e"))).alias("ref")))
+    if known is not None:
+        told = known.select("tenant_id", F.col("acct").alias(own), F.col("ref").alias("_told"))
+        refs = refs.join(told, ["tenant_id", own], "full_outer").select("tenant_id", own, F.coalesce("_told", "ref").alias("ref"))
+    return pay.join(refs, ["tenant_id", own], "left")
+
+
+def _contributions(given: DataFrame, measures: Mapping[str, tuple], own: str, other: str, kept: "Kept | None" = None) -> DataFrame:
+    """What each payment adds to the measures of its account, and of the account on the other side where any asks."""
     cells = [F.col(own).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(True).alias("real")]
     mirror = [F.col(other).alias("acct"), F.col("t_ms").alias("t_ms"), F.lit(False).alias("real")]
-    for name, (_, own_value, other_value) in measures.items():
-        cells.append(own_value.alias(name))
-        mirror.append((other_value if other_value is not None else F.when(F.lit(False), own_value)).alias(name))
+    for name, (measure, own_value, other_value) in measures.items():
+        counts = lambda c: c if kept is None or measure.range_ms is not None else F.when(fresh(kept), c)
+        cells.append(counts(own_value).alias(name))
+        mirror.append(counts(other_value if other_value is not None else F.when(F.lit(False), own_value)).alias(name))
     if any(o is not None for _, _, o in measures.values()):
         both = given.select("tenant_id", *[F.struct(*c).alias(n) for c, n in ((cells, "_own"), (mirror, "_other"))])
-        rows = both.select("tenant_id", F.inline(F.array("_own", "_other")))
-    else:
-        rows = given.select("tenant_id", *cells)
+        return both.select("tenant_id", F.inline(F.array("_own", "_other")))
+    return given.select("tenant_id", *cells)
+
+
+def _unbounded(own: str) -> dict[str, tuple]:
+    """Measures over all time, of every rule of a side."""
+    rules = DEBTOR_RULES if own == "dbtr_acct" else CREDITOR_RULES
+    return {name: parts for name, parts in _measures({r: rule_config(r) for r in rules}).items()
+            if parts[0].range_ms is None and not name.startswith("m_")}
+
+
+def totals(pay: DataFrame, own: str, other: str, known: DataFrame | None = None) -> DataFrame:
+    """All measures without a look-back, of every account: what ``scan`` would carry past these payments. ``known``
+    totals give the first amounts that sums are taken from."""
+    measures = _unbounded(own)
+    given = _with_refs(pay, own, known).withColumn("digit", leading_digit(F.col("amt")))
+    folded = _contributions(given, measures, own, other).where("acct is not null").groupBy("tenant_id", "acct").agg(
+        *[FOLD[m.op](n).alias(n) for n, (m, _, _) in measures.items()])
+    bins = _bin_counts(pay.where(F.col(own).isNotNull()), own, BIN_MS).groupBy("tenant_id", "acct").agg(
+        F.sum("bin_sum").alias("bin_sum"), F.sum("bin_sq").alias("bin_sq"), F.min("bin_first").alias("bin_first"))
+    refs = given.where("ref is not null").groupBy("tenant_id", F.col(own).alias("acct")).agg(F.first("ref").alias("ref"))
+    return folded.join(bins, ["tenant_id", "acct"], "left").join(refs, ["tenant_id", "acct"], "left")
+
+
+def merge_totals(rows: DataFrame, own: str) -> DataFrame:
+    """Totals of two stretches of time, whose sums were taken from the same first amounts."""
+    ops = {**{n: m.op for n, (m, _, _) in _unbounded(own).items()}, "bin_sum": "sum", "bin_sq": "sum", "bin_first": "min",
+           "ref": "max"}
+    return rows.groupBy("tenant_id", "acct").agg(*[
+        FOLD[op](n).cast(rows.schema[n].dataType).alias(n) for n, op in ops.items()])
+
+
+def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str, kept: "Kept | None" = None) -> DataFrame:
+    measures = _measures(docs)
+    before = None if kept is None else kept.debtor if own == "dbtr_acct" else kept.creditor
+    if _ZSCORE & set(docs):
+        pay = _with_refs(pay, own, before, kept)
+    given = pay.withColumn("digit", leading_digit(F.col("amt"))) if _BENFORD & set(docs) else pay
+    rows = _contributions(given, measures, own, other, kept)
+    if before is not None:
+        held = [n for n in measures if n in before.columns]
+        rows = rows.unionByName(before.select(
+            "tenant_id", "acct", F.lit(kept.closed - 1).alias("t_ms"), F.lit(False).alias("real"),
+            *[F.col(n).cast(rows.schema[n].dataType).alias(n) for n in held]), allowMissingColumns=True)
     line = scan(rows, ["tenant_id", "acct"], "t_ms", [m for m, _, _ in measures.values()],
                 deltas=_distinct_steps(pay, docs))
     wide = pay.withColumnRenamed(own, "acct").join(line, ["tenant_id", "acct", "t_ms"], "left")
-    volume = [r for r in docs if r in _VOLUME]
+    volume = [r for r in docs if r in VOLUME]
     if volume:
         interval = docs[volume[0]]["config"]["parameters"]["evaluationIntervalTime"]
         wide = (wide.withColumn("bin", F.floor(F.col("t_ms") / interval).cast("bigint"))
-                .join(_bins(pay, own, interval), ["tenant_id", "acct", "bin"], "left"))
+                .join(_bins(pay, own, interval, kept), ["tenant_id", "acct", "bin"], "left"))
     outs = []
     for rule, doc in docs.items():
         value, leaves = _rule_columns(rule, doc)
@@ -199,17 +270,17 @@ def evaluate(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) ->
     return results(wide, outs)
 
 
-def debtor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
-    return evaluate(pay, docs, "dbtr_acct", "cdtr_acct")
+def debtor(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
+    return evaluate(pay, docs, "dbtr_acct", "cdtr_acct", kept)
 
 
-def creditor(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
-    return evaluate(pay, docs, "cdtr_acct", "dbtr_acct")
+def creditor(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
+    return evaluate(pay, docs, "cdtr_acct", "dbtr_acct", kept)
 
 
-def pair(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
+def pair(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
     """Rule 030: settled payments so far between this debtor and this creditor account."""
-    wide = pay.join(pair_scan(pay).drop("pair_prev"), ["tenant_id", "dbtr_acct", "cdtr_acct", "t_ms"],
+    wide = pay.join(pair_scan(pay, kept).drop("pair_prev"), ["tenant_id", "dbtr_acct", "cdtr_acct", "t_ms"],
                     "left")
     return results(wide, [outcome(docs["030"], F.col("pair_n"))])
 
@@ -224,12 +295,13 @@ def row_local(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     return results(pay, [outcome(doc, values[rule]) for rule, doc in docs.items()])
 
 
-def holders(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
+def holders(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
     """Rules 083 and 084: accounts that the paying and the paid entity have held up to the payment's time."""
     ends = F.array(F.struct(F.col("dbtr_id").alias("entity"), F.col("dbtr_acct").alias("acct"), "t_ms"),
                    F.struct(F.col("cdtr_id").alias("entity"), F.col("cdtr_acct").alias("acct"), "t_ms"))
     seen = pay.select("tenant_id", F.inline(ends))
-    firsts = (seen.where("acct is not null").groupBy("tenant_id", "entity", "acct").agg(F.min("t_ms").alias("t_ms"))
+    told = seen if kept is None else seen.unionByName(kept.holders.select("tenant_id", "entity", "acct", "t_ms"))
+    firsts = (told.where("acct is not null").groupBy("tenant_id", "entity", "acct").agg(F.min("t_ms").alias("t_ms"))
               .select("tenant_id", "entity", "t_ms", F.lit(False).alias("real"), F.lit(1).cast("bigint").alias("held")))
     moments = seen.select("tenant_id", "entity", "t_ms", F.lit(True).alias("real"), F.lit(None).cast("bigint").alias("held"))
     held = scan(moments.unionByName(firsts), ["tenant_id", "entity"], "t_ms", [Measure("held")])

@@ -8,12 +8,17 @@ from __future__ import annotations
 from collections.abc import Mapping
 from decimal import Decimal
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..outcome import NO_HISTORY, NO_X00, NOT_NUMERIC, outcome, results
 from ..timeline import HOUR_MS, Measure, block_of, range_max, recent, scan
+from .account import fresh
+
+if TYPE_CHECKING:
+    from ..kept import Kept
 
 CENTS = 100
 MOST_CENTS = 10 ** 18 - 1  # the largest decimal(18,2) amount
@@ -27,15 +32,17 @@ def _dec(x: float | int) -> Column:
     return F.lit(d).cast(f"decimal({max(digits, scale + 1)},{scale})")
 
 
-def last_n(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
+def last_n(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
     """Rules 006 and 008 over the current payment and the N-1 latest settled prior ones of the debtor account.
 
     006 counts amounts within tolerance of the current amount, 008 payments to the current creditor account; the
     current payment counts itself. No prior payment: ``.x01``.
     """
     size = max(int(d["config"]["parameters"]["maxQueryLimit"]) for d in docs.values()) - 1
-    settled = pay.where("ok").select("tenant_id", "dbtr_acct", "t_ms",
-                                     F.struct("t_ms", "e2e", "amt", "cdtr_acct").alias("item"))
+    columns = ["tenant_id", "dbtr_acct", "t_ms", F.struct("t_ms", "e2e", "amt", "cdtr_acct").alias("item")]
+    settled = pay.where(F.col("ok") & fresh(kept)).select(*columns)
+    if kept is not None:
+        settled = settled.unionByName(kept.latest.select(*columns))
     tail = recent(settled, ["tenant_id", "dbtr_acct"], "t_ms", "item", size)
     wide = pay.join(tail, ["tenant_id", "dbtr_acct", "t_ms"], "left")
     outs = []
@@ -52,11 +59,13 @@ def last_n(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     return results(wide, outs)
 
 
-def largest(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
+def largest(pay: DataFrame, docs: Mapping[str, dict], kept: "Kept | None" = None) -> DataFrame:
     """Rule 018: amount over the largest settled prior outgoing amount in range; none (or only zeros): ``.x01``."""
     doc = docs["018"]
     rows = pay.select("tenant_id", "dbtr_acct", "t_ms", F.lit(True).alias("real"),
                       F.when(F.col("ok"), F.col("amt")).alias("top"))
+    if kept is not None:
+        rows = rows.unionByName(kept.tops.select("tenant_id", "dbtr_acct", "t_ms", F.lit(False).alias("real"), "top"))
     tops = range_max(rows, ["tenant_id", "dbtr_acct"], "t_ms", "top", doc["config"]["parameters"]["maxQueryRange"],
                      include_now=False)
     wide = pay.join(tops, ["tenant_id", "dbtr_acct", "t_ms"], "left")

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from ...config.rules import rule_config
 from ..outcome import outcome, results
 from . import account, lists, places, upstream
 
-Family = Callable[[DataFrame, Mapping[str, dict]], DataFrame]
+if TYPE_CHECKING:
+    from ..kept import Kept
+
+Family = Callable[..., DataFrame]
 
 FAMILIES: list[tuple[tuple[str, ...], Family]] = [
     (account.DEBTOR_RULES, account.debtor),
@@ -27,6 +31,8 @@ FAMILIES: list[tuple[tuple[str, ...], Family]] = [
     (("075",), places.habitual),
     (("090",), upstream.divergence),
 ]
+#: Families that add kept totals to the payments they see; all others look back over a bounded range, or not at all.
+KEEPERS = {account.debtor, account.creditor, account.pair, account.holders, lists.last_n, lists.largest, places.habitual}
 _PLUGINS: dict[str, Family] = {}
 
 
@@ -42,9 +48,12 @@ def register_rule(rule: str, value: Callable[[DataFrame, dict], DataFrame]) -> N
     _PLUGINS[rule] = family
 
 
-def evaluate_rules(pay: DataFrame, docs: Iterable[dict]) -> DataFrame:
+def evaluate_rules(pay: DataFrame, docs: Iterable[dict], kept: "Kept | None" = None) -> DataFrame:
     """Rule results (tenant_id, e2e, rule_id, cfg, value, sub_rule_ref, reason) for every payment and configuration.
 
+    With ``kept`` totals, ``pay`` has a column ``carried``: payments that the totals hold already, which only rules with
+    a look-back still read; their own results are void.
+
     Rules that read the same time line share one scan; families are independent and joined by union. Several
     configurations of one rule all give results; the same one twice is refused.
     """
@@ -64,7 +73,7 @@ def evaluate_rules(pay: DataFrame, docs: Iterable[dict]) -> DataFrame:
         for rules, family in [*FAMILIES, *[((r,), f) for r, f in _PLUGINS.items()]]:
             chosen = {r: by_rule[r] for r in rules if r in left}
             if chosen:
-                parts.append(family(pay, chosen))
+                parts.append(family(pay, chosen, kept) if kept is not None and family in KEEPERS else family(pay, chosen))
                 left -= set(chosen)
         if left:
             raise ValueError(f"no implementation for rules {sorted(left)}")

@@ -4,16 +4,20 @@ Statistic (ours): distinct payees q such that some payer p paid the debtor accou
 t and paid q within the downstream range before t (both strictly earlier; the debtor account itself counts).
 
 Payments are first folded to stretches of time: pair (a, b) is active from one millisecond after a payment until
-``range`` later, in disjoint pieces. Two equi-joined pieces (same payer, same time bucket, overlapping) make one
-three-party stretch; running sums per (account, payee) and then per account count the distinct payees.
+``range`` later, in disjoint pieces, cut at bucket edges. In each bucket one of an account's payers, the one with most
+payees, is only counted: while it is active, its own running number of payees is taken. The payees of the other payers
+are listed, and those that the counted payer reaches at the same time are left out by one look-up for each. A payer of
+very many payees who pays very many accounts thus costs a row for each payment; payees are listed for an account only
+where two of its payers are at work in one bucket, and then those of the lesser ones.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...sources.shared import staged
 from ..outcome import outcome, results
 from ..timeline import Measure, block_of, scan
 from .account import pair_scan
@@ -34,31 +38,61 @@ def _bucketed(pieces: DataFrame, width: int) -> DataFrame:
                           "hi": F.least(F.col("hi"), (F.col("bucket") + 1) * width)}))
 
 
+def _steps(keys: list[str], name: str, lo: Column, hi: Column) -> list[Column]:
+    """+1 where a piece begins, -1 where it ends."""
+    one = F.lit(1).cast("bigint")
+    return [*keys, F.inline(F.array(*[F.struct(at.alias("t_ms"), sign.alias(name)) for at, sign in ((lo, one), (hi, -one))]))]
+
+
 def divergence(pay: DataFrame, docs: Mapping[str, dict]) -> DataFrame:
     doc = docs["090"]
     params = doc["config"]["parameters"]
     up, down = int(params["maxQueryRangeUpstream"]), int(params["maxQueryRangeDownstream"])
     width = max(up, down)
-    pairs = pair_scan(pay).where("pair_n_here > 0")
+    pairs = staged(pair_scan(pay).where("pair_n_here > 0"), "upstream-pairs")
     debtors = pay.select("tenant_id", F.col("dbtr_acct").alias("acct")).distinct()
-    into = (_bucketed(_pieces(pairs, up), width)
-            .select("tenant_id", F.col("dbtr_acct").alias("payer"), F.col("cdtr_acct").alias("acct"),
-                    "bucket", "lo", "hi").join(debtors, ["tenant_id", "acct"], "left_semi"))
-    out = (_bucketed(_pieces(pairs, down), width)
-           .select("tenant_id", F.col("dbtr_acct").alias("payer"), F.col("cdtr_acct").alias("payee"),
-                   "bucket", F.col("lo").alias("lo2"), F.col("hi").alias("hi2")))
+    paid = _pieces(pairs, down).withColumnsRenamed({"dbtr_acct": "payer", "cdtr_acct": "payee"})
+    out = _bucketed(paid, width).withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
+    into = (_bucketed(_pieces(pairs, up), width).withColumnsRenamed({"dbtr_acct": "payer", "cdtr_acct": "acct"})
+            .join(debtors, ["tenant_id", "acct"], "left_semi"))
+
+    degrees = out.groupBy("tenant_id", "payer", "bucket").agg(F.count(F.lit(1)).alias("degree"))
+    ranked = into.join(degrees, ["tenant_id", "payer", "bucket"], "left")
+    counted = ranked.groupBy("tenant_id", "acct", "bucket").agg(
+        F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "payer"))["payer"].alias("counted"))
+    into = staged(into.join(counted, ["tenant_id", "acct", "bucket"]), "upstream-payers")
+    counted = into.select("tenant_id", "acct", "bucket", "counted").distinct()
+    chosen, others = into.where("payer = counted"), into.where("payer <> counted")
+
     lo, hi = F.greatest("lo", "lo2"), F.least("hi", "hi2")
-    both = into.join(out, ["tenant_id", "payer", "bucket"]).where(lo < hi)
-    one = F.lit(1).cast("bigint")
-    steps = both.select("tenant_id", "acct", "payee", F.inline(F.array(
-        F.struct(lo.alias("t_ms"), F.lit(True).alias("real"), one.alias("depth")),
-        F.struct(hi.alias("t_ms"), F.lit(True).alias("real"), (-one).alias("depth")))))
-    depth = scan(steps, ["tenant_id", "acct", "payee"], "t_ms", [Measure("depth", here=True)])
-    was = F.col("depth") - F.col("depth_here")
-    change = F.when((F.col("depth") > 0) & (was == 0), one).when((F.col("depth") == 0) & (was > 0), -one)
-    changes = depth.select("tenant_id", "acct", "t_ms", change.alias("payees")).where("payees is not null")
+    listed = others.join(out, ["tenant_id", "payer", "bucket"]).where(lo < hi).select(
+        "tenant_id", "acct", "bucket", "counted", "payee", lo.alias("lo"), hi.alias("hi"))
+    known = out.withColumnRenamed("payer", "counted")
+    again = (listed.select("tenant_id", "acct", "bucket", "counted", "payee").distinct()
+             .join(known, ["tenant_id", "counted", "bucket", "payee"])
+             .join(chosen.select("tenant_id", "acct", "bucket", "lo", "hi"), ["tenant_id", "acct", "bucket"]).where(lo < hi))
+    three = ["tenant_id", "acct", "payee"]
+    steps = (listed.select(*_steps(three, "depth", F.col("lo"), F.col("hi")))
+             .unionByName(again.select(*_steps(three, "held", lo, hi)), allowMissingColumns=True))
+    depth = scan(steps.withColumn("real", F.lit(True)), three, "t_ms", [Measure("depth", here=True), Measure("held", here=True)])
+    counts = (F.col("depth") > 0) & (F.col("held") == 0)
+    did = (F.col("depth") > F.col("depth_here")) & (F.col("held") == F.col("held_here"))
+    change = counts.cast("bigint") - did.cast("bigint")
+    changes = staged(depth.select("tenant_id", "acct", "t_ms", change.alias("payees")).where("payees <> 0"), "upstream-payees")
+
+    active = chosen.select(*_steps(["tenant_id", "acct"], "active", F.col("lo"), F.col("hi")))
+    none = F.lit(None).cast("bigint")
     rows = pay.select("tenant_id", F.col("dbtr_acct").alias("acct"), "t_ms", F.lit(True).alias("real"),
-                      F.lit(None).cast("bigint").alias("payees"))
-    line = scan(rows, ["tenant_id", "acct"], "t_ms", [Measure("payees")], deltas=changes)
-    wide = pay.withColumnRenamed("dbtr_acct", "acct").join(line, ["tenant_id", "acct", "t_ms"], "left")
+                      none.alias("payees"), none.alias("active"))
+    line = (scan(rows, ["tenant_id", "acct"], "t_ms", [Measure("payees"), Measure("active")],
+                 deltas=changes.unionByName(active, allowMissingColumns=True))
+            .withColumn("bucket", block_of(F.col("t_ms"), width))
+            .join(counted, ["tenant_id", "acct", "bucket"], "left")
+            .withColumn("payer", F.when(F.col("active") > 0, F.col("counted"))))
+    asks = line.where("payer is not null").select("tenant_id", "payer", "t_ms", F.lit(True).alias("real"), none.alias("reached"))
+    reached = scan(asks, ["tenant_id", "payer"], "t_ms", [Measure("reached")],
+                   deltas=paid.select(*_steps(["tenant_id", "payer"], "reached", F.col("lo"), F.col("hi"))))
+    found = line.join(reached, ["tenant_id", "payer", "t_ms"], "left").select(
+        "tenant_id", "acct", "t_ms", (F.col("payees") + F.coalesce("reached", F.lit(0))).alias("payees"))
+    wide = pay.withColumnRenamed("dbtr_acct", "acct").join(found, ["tenant_id", "acct", "t_ms"], "left")
     return results(wide, [outcome(doc, F.col("payees"))])

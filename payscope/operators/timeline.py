@@ -37,7 +37,7 @@ class Measure:
     here: bool = False
 
 
-_FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def block_of(time: Column, block_ms: int) -> Column:
@@ -62,7 +62,7 @@ def scan(rows: DataFrame, keys: Sequence[str], time: str, measures: Sequence[Mea
     keys = list(keys)
     names = [m.name for m in measures]
     moments = _known(rows, keys, time, block_ms).groupBy(*keys, time).agg(
-        F.max("real").alias("real"), *[_FOLD[m.op](m.name).alias(m.name) for m in measures])
+        F.max("real").alias("real"), *[FOLD[m.op](m.name).alias(m.name) for m in measures])
     here = [m.name for m in measures if m.here]
     steps = moments.select(*keys, time, "real", *names, *[F.col(n).alias(f"{n}_here") for n in here])
     ranges = sorted({m.range_ms for m in measures if m.range_ms is not None})
@@ -91,13 +91,13 @@ def scan(rows: DataFrame, keys: Sequence[str], time: str, measures: Sequence[Mea
     before = in_block.rangeBetween(Window.unboundedPreceding, -1)
     local = steps.select(
         *keys, time, "_block", "real", *[f"{n}_here" for n in here],
-        *[_FOLD[m.op](m.name).over(through if m.op == "sum" else before).alias(f"_l_{m.name}") for m in measures])
+        *[FOLD[m.op](m.name).over(through if m.op == "sum" else before).alias(f"_l_{m.name}") for m in measures])
 
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (steps.groupBy(*keys, "_block")
-             .agg(F.max("real").alias("_wanted"), *[_FOLD[m.op](m.name).alias(m.name) for m in measures])
+             .agg(F.max("real").alias("_wanted"), *[FOLD[m.op](m.name).alias(m.name) for m in measures])
              .select(*keys, "_block", "_wanted",
-                     *[_FOLD[m.op](m.name).over(earlier).alias(f"_c_{m.name}") for m in measures])
+                     *[FOLD[m.op](m.name).over(earlier).alias(f"_c_{m.name}") for m in measures])
              .where("_wanted").drop("_wanted"))
 
     def combined(m: Measure) -> Column:

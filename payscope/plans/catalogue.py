@@ -977,15 +977,15 @@ def _(spark, d):
     return _drain(spark, v.select("tenant_id", "dbtr_acct", F.unix_millis("window_start").alias("window_ms"), "payments"), "velocity")
 
 
-STREAM_RULES = ("045", "901", "902")
+STREAM_RULES = [*FULL_SET, "901", "902"]
 
 
-def run_stream(spark, d, slices: int = 3, rules=None, flow=None) -> str:
+def run_stream(spark, d, slices: int = 3, rules=None, flow=None, payments=None) -> str:
     """Land the payments in ``slices`` time slices and run the stream after each; returns the output folder."""
-    p = pay(spark, d)
+    p = pay(spark, d) if payments is None else payments
     root, landing = tb.shared_dir(spark, "stream"), tb.shared_dir(spark, "landing")
     first, width = 1_704_067_200_000, 30 * DAY // slices + 1
-    docs = rules or (lambda: [rule_config(r) for r in STREAM_RULES])
+    docs = rules or (lambda: [rule_config(r) for r in ("901", "902")])
     ev = st.StreamEvaluator(root, docs, lambda: [TYPOLOGIES["999-901"], TYPOLOGIES["999-901-902"]], flow)
     for i in range(slices):
         lo, hi_ = first + i * width, first + (i + 1) * width
@@ -998,7 +998,7 @@ def run_stream(spark, d, slices: int = 3, rules=None, flow=None) -> str:
 
 @query("stream_rules")
 def _(spark, d):
-    root = run_stream(spark, d)
+    root = run_stream(spark, d, rules=lambda: [rule_config(r) for r in STREAM_RULES])
     return spark.read.parquet(f"{root}/results").select("tenant_id", "e2e", "rule_id", "value", "sub_rule_ref")
 
 
