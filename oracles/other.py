@@ -365,4 +365,38 @@ def statements() -> dict[str, str]:
         f"{WITH}, n AS (SELECT q.tenant_id, q.e2e, any_value(q.ok) AS ok, count(p.e2e) AS v FROM pay q LEFT JOIN pay p ON p.tenant_id = q.tenant_id AND p.ok AND "
         f"p.dbtr_acct = q.dbtr_acct AND p.t_ms BETWEEN q.t_ms - CASE WHEN q.t_ms < {half} THEN {DAY} ELSE {3 * DAY} END AND q.t_ms GROUP BY 1, 2) "
         f"SELECT tenant_id, e2e, CASE WHEN ok THEN CAST(v AS DOUBLE) END AS value, CASE WHEN NOT ok THEN '.x00' ELSE {band('901', 'v')} END AS sub_rule_ref FROM n")
+    s["map_payload_functions"] = (
+        f"{WITH} SELECT 'msg-' || e2e AS Reference, CAST(amt * 100 AS BIGINT) AS Cents, CAST(amt AS DOUBLE) + 0.25 AS Total, "
+        "CASE WHEN ok THEN 'settled' ELSE 'open' END AS State, substr(tx_kind, 1, 3) AS Kind, CAST(cdtr_acct AS VARCHAR) AS Party FROM pay")
+    s["batch_take_on_unmatched"] = (
+        f"WITH {BATCH_PAY} SELECT tenant_id, 'E' || e2e AS end_to_end_id, 'S' || num AS message_id FROM st "
+        "WHERE NOT EXISTS (SELECT 1 FROM tf WHERE tf.tenant_id = st.tenant_id AND tf.e2e = st.e2e)")
+    later = lambda n: 1_705_276_800_000 + n * DAY
+    s["resolve_rule_config_as_of"] = (
+        f"{WITH}, v(tenant_id, since, name, days) AS (VALUES ('tenant-001', 0, 'a', 1), ('tenant-001', {later(0)}, 'b', 3), "
+        f"('tenant-001', {later(7)}, 'c', 2), ('tenant-002', {later(-5)}, 'd', 1)) SELECT p.tenant_id, e2e, name, days "
+        "FROM pay p LEFT JOIN v ON v.tenant_id = p.tenant_id AND v.since = (SELECT max(since) FROM v w WHERE w.tenant_id = p.tenant_id AND w.since <= p.t_ms)")
+    s["rule_901_as_of"] = (
+        f"{WITH}, n AS (SELECT q.tenant_id, q.e2e, any_value(q.ok) AS ok, count(p.e2e) AS v FROM pay q LEFT JOIN pay p ON p.tenant_id = q.tenant_id AND p.ok AND "
+        f"p.dbtr_acct = q.dbtr_acct AND p.t_ms BETWEEN q.t_ms - CASE WHEN q.t_ms < {later(0)} THEN {DAY} ELSE {3 * DAY} END AND q.t_ms GROUP BY 1, 2) "
+        f"SELECT tenant_id, e2e, CASE WHEN ok THEN CAST(v AS DOUBLE) END AS value, CASE WHEN NOT ok THEN '.x00' ELSE {band('901', 'v')} END AS sub_rule_ref FROM n")
+    s["typology_tenants"] = (
+        f"{base}, t(typology_id, own) AS (VALUES ('typology-processor', true), ('typology-second', false)) "
+        "SELECT tenant_id, e2e, typology_id, '999@4.0.0' AS typology_cfg, score * f AS score, score * f >= 300 AS alert, score * f >= 500 AS interdict "
+        "FROM (SELECT *, CASE WHEN own AND tenant_id = 'tenant-001' THEN 3 ELSE 1 END AS f FROM scores, t WHERE typology_cfg = '999-901-902@4.0.0')")
+    s["rep_counterparty_hops"] = (
+        f"{WITH}, e AS (SELECT DISTINCT tenant_id, dbtr_acct AS a, cdtr_acct AS b FROM pay), one AS (SELECT * FROM e WHERE a <> b), "
+        "two AS (SELECT DISTINCT x.tenant_id, x.a, y.b FROM one x JOIN e y ON y.tenant_id = x.tenant_id AND y.a = x.b WHERE y.b <> x.a "
+        "AND NOT EXISTS (SELECT 1 FROM one o WHERE o.tenant_id = x.tenant_id AND o.a = x.a AND o.b = y.b)), "
+        "g AS (SELECT DISTINCT tenant_id, dbtr_acct AS account, unnest([1, 2]) AS hop FROM pay) "
+        "SELECT tenant_id, account, hop, CASE hop WHEN 1 THEN (SELECT count(*) FROM one o WHERE o.tenant_id = g.tenant_id AND o.a = g.account) "
+        "ELSE (SELECT count(*) FROM two o WHERE o.tenant_id = g.tenant_id AND o.a = g.account) END AS counterparties FROM g")
+    s["rep_case_lifecycle"] = (
+        "WITH log AS (SELECT o_orderkey AS c, CAST(o_orderdate AS DATE) AS d, 0 AS seq, 'open' AS state FROM orders "
+        "UNION ALL SELECT l_orderkey, CAST(l_shipdate AS DATE), l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'escalated' WHEN l_returnflag = 'A' THEN 'open' "
+        "WHEN l_linestatus = 'F' THEN 'closed' ELSE 'review' END FROM lineitem), days AS (SELECT c, d, max({'s': seq, 't': state}).t AS state FROM log GROUP BY 1, 2), "
+        "r AS (SELECT *, lag(state) OVER w AS was, lead(d) OVER w - d AS days, lead(d) OVER w IS NULL AS final FROM days WINDOW w AS (PARTITION BY c ORDER BY d)) "
+        "SELECT state, count(*) FILTER (WHERE was IS DISTINCT FROM state) AS stays, count(DISTINCT c) AS cases, "
+        "count(*) FILTER (WHERE was = 'closed' AND state <> 'closed') AS from_closed, CAST(coalesce(sum(days), 0) AS BIGINT) AS days, "
+        "count(*) FILTER (WHERE final) AS cases_now FROM r GROUP BY 1")
     return s

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.adapters import STATUS
-from .timeline import Measure, scan
+from .timeline import Measure, block_of, scan
 
 # Precedence (ours), strongest first; ``block`` is an alias of the first.
 PRECEDENCE = ("non-overridable-block", "override", "overridable-block")
@@ -35,11 +35,28 @@ def _subject_rows(pay: DataFrame) -> DataFrame:
         for role, kind, c in _SUBJECTS])))
 
 
+#: Conditions are cut at days; one that lasts longer than so many is met by its subject alone.
+BUCKET_MS = 86_400_000
+MOST_BUCKETS = 400
+
+
 def interval_join(pay: DataFrame, edges: DataFrame, tx_tp: str = STATUS) -> DataFrame:
-    """Every event with every condition in force for one of its four subjects."""
+    """Every event with every condition in force for one of its four subjects.
+
+    A condition is cut into the days it touches and meets the events of its subject on those days only, so conditions
+    that are over cost nothing on later days; an event lies in one day, so a pair is met once. Conditions without an end,
+    or that last very long, meet all events of their subject, nearly all of which they govern.
+    """
+    keys = ["tenant_id", "role", "subject_type", "source"]
     relevant = edges.where(F.array_contains("evt_tp", tx_tp))
-    return (_subject_rows(pay).join(relevant, ["tenant_id", "role", "subject_type", "source"])
-            .where(in_force(F.col("t_ms"))))
+    first, last = block_of(F.col("incptn_ms"), BUCKET_MS), block_of(F.col("xprtn_ms") - 1, BUCKET_MS)
+    short = F.coalesce((F.col("xprtn_ms") > F.col("incptn_ms")) & (last - first < MOST_BUCKETS), F.lit(False))
+    never = F.coalesce(F.col("xprtn_ms") <= F.col("incptn_ms"), F.lit(False))
+    cut = relevant.where(short & ~never).withColumn("bucket", F.explode(F.sequence(first, last)))
+    long = relevant.where(~short & ~never)
+    subjects = _subject_rows(pay)
+    daily = subjects.withColumn("bucket", block_of(F.col("t_ms"), BUCKET_MS)).join(cut, [*keys, "bucket"]).drop("bucket")
+    return daily.unionByName(subjects.join(long, keys).select(*daily.columns)).where(in_force(F.col("t_ms")))
 
 
 def event_flow(pay: DataFrame, edges: DataFrame, tx_tp: str = STATUS) -> DataFrame:

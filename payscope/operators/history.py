@@ -135,3 +135,8 @@ def orphans(edges: DataFrame, column: str, targets: DataFrame, constraint: str)
     known = targets.select("tenant_id", F.col("id").alias(column))
     return (edges.join(known, ["tenant_id", column], "left_anti")
             .select("tenant_id", F.lit(constraint).alias("constraint"), F.col(column).alias("missing")))
+
+
+def unmatched_statuses(statuses: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Status messages whose transfer has not arrived; they cannot be evaluated yet."""
+    return statuses.join(transfers.select("tenant_id", "end_to_end_id"), ["tenant_id", "end_to_end_id"], "left_anti")

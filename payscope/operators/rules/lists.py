@@ -91,7 +91,9 @@ def _amount_cells(low: Column, high: Column) -> Column:
         right = F.when(second < hi, F.sequence(second, hi - 1)).otherwise(none)
         cells = F.when(lo < hi, F.concat(left, right)).otherwise(none)
         return F.transform(cells, lambda c: F.struct(level.alias("level"), c.alias("cell")))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(MAX_LEVEL)), at))
+    # no cell wider than the interval fits in it
+    widest = F.least(F.lit(MAX_LEVEL), F.ceil(F.log2((high - low + 2).cast("double")) / 2).cast("int"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(widest, F.lit(0))), at))
 
 
 def _similar(rows: DataFrame, tolerance: float, range_ms: int | None) -> DataFrame:

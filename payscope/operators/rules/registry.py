@@ -54,9 +54,14 @@ def evaluate_rules(pay: DataFrame, docs: Iterable[dict], kept: "Kept | None" = N
     With ``kept`` totals, ``pay`` has a column ``carried``: payments that the totals hold already, which only rules with
     a look-back still read; their own results are void.
 
+    Documents may have ``validFrom``: then each payment is judged by the version in force at its time, not by the latest.
+
     Rules that read the same time line share one scan; families are independent and joined by union. Several
     configurations of one rule all give results; the same one twice is refused.
     """
+    docs = list(docs)
+    if any("validFrom" in d for d in docs):
+        return _by_time(pay, docs, kept)
     rounds: list[dict[str, dict]] = []
     for doc in docs:
         rule = doc["id"].split("@")[0]
@@ -80,6 +85,35 @@ def evaluate_rules(pay: DataFrame, docs: Iterable[dict], kept: "Kept | None" = N
     return reduce(DataFrame.unionByName, parts)
 
 
+def in_force(docs: Iterable[dict]) -> list[tuple[int | None, int | None, list[dict]]]:
+    """Stretches of time [from, to) with the documents in force; of one id and cfg the last to begin holds. A document
+    without ``validFrom`` (ms) has always held."""
+    docs = list(docs)
+    edges = sorted({d["validFrom"] for d in docs if d.get("validFrom") is not None})
+    out = []
+    for lo, hi in zip([None, *edges], [*edges, None]):
+        held: dict[tuple[str, str], dict] = {}
+        for d in sorted(docs, key=lambda d: (d.get("validFrom") is not None, d.get("validFrom") or 0)):
+            begins = d.get("validFrom")
+            if begins is None or (lo is not None and begins <= lo):
+                held[d["id"], d["cfg"]] = {k: v for k, v in d.items() if k != "validFrom"}
+        if held:
+            out.append((lo, hi, list(held.values())))
+    return out
+
+
+def _by_time(pay: DataFrame, docs: Iterable[dict], kept: "Kept | None") -> DataFrame:
+    """Each payment by the documents in force at its time, over the history of all times. A payment before the first
+    version of a document has no result for it."""
+    parts = []
+    for lo, hi, held in in_force(docs):
+        inside = F.lit(True) if lo is None else F.col("t_ms") >= lo
+        inside = inside if hi is None else inside & (F.col("t_ms") < hi)
+        asked = pay.where(inside).select("tenant_id", "e2e")
+        parts.append(evaluate_rules(pay, held, kept).join(asked, ["tenant_id", "e2e"], "left_semi"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def evaluate_rule(pay: DataFrame, rule: str, **parameters) -> DataFrame:
     """Results of one rule under its published configuration."""
     return evaluate_rules(pay, [rule_config(rule, **parameters)])

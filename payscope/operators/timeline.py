@@ -202,3 +202,19 @@ def coverage(pair_times: DataFrame, keys: Sequence[str], time: str, previous: st
 def merge(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Inner-join frames that hold the same keys."""
     return reduce(lambda a, b: a.join(b, list(keys)), frames)
+
+
+def as_of(events: DataFrame, versions: DataFrame, keys: Sequence[str], time: str, since: str) -> DataFrame:
+    """Events with ``version``, the row of ``versions`` (a struct) of the same keys that was last to begin at or before the
+    event's time; null where none had. Of versions that begin together the greatest row holds.
+
+    Versions and events run along one line and the last version is carried, so neither the number of versions nor a key
+    that holds most events makes a group that one task must hold. Keys must not be null.
+    """
+    keys = list(keys)
+    body = F.struct(F.col(since).alias(since), *[c for c in versions.columns if c not in keys and c != since])
+    steps = versions.select(*keys, (F.col(since) - 1).alias(time), F.lit(False).alias("real"), body.alias("version"))
+    asks = events.select(*keys, time).distinct().select(*keys, time, F.lit(True).alias("real"),
+                                                        F.lit(None).cast(steps.schema["version"].dataType).alias("version"))
+    line = scan(asks.unionByName(steps), keys, time, [Measure("version", "max")])
+    return events.join(line, [*keys, time], "left")

@@ -50,34 +50,50 @@ def rule_table(spark: SparkSession, docs: Iterable[Mapping]) -> DataFrame:
                   "rule_id string, rule_cfg string, tenant_id string, description string")
 
 
+def _shadowed(docs: Sequence[Mapping]) -> dict[tuple, list[str]]:
+    """For each default typology (id, cfg) the tenants that have their own: it does not serve them."""
+    own: dict[tuple, list[str]] = {}
+    for d in docs:
+        if d["tenantId"] != DEFAULT_TENANT:
+            own.setdefault((d["id"], d["cfg"]), []).append(d["tenantId"])
+    return own
+
+
+def _hidden_from(doc: Mapping, shadowed: Mapping[tuple, list[str]]) -> list[str]:
+    return sorted(set(shadowed.get((doc["id"], doc["cfg"]), ()))) if doc["tenantId"] == DEFAULT_TENANT else []
+
+
 def typology_table(spark: SparkSession, docs: Iterable[Mapping]) -> DataFrame:
-    return _table(spark, [(d["id"], d["cfg"], d["tenantId"], d["workflow"].get("alertThreshold"),
-                           d["workflow"].get("interdictionThreshold"), d["workflow"].get("flowProcessor"))
-                          for d in docs],
-                  "typology_id string, typology_cfg string, tenant_id string, alert_threshold long, "
-                  "interdiction_threshold long, flow_processor string")
+    docs = list(docs)
+    shadowed = _shadowed(docs)
+    rows = {(d["id"], d["cfg"], d["tenantId"]): (
+        d["id"], d["cfg"], d["tenantId"], d["workflow"].get("alertThreshold"), d["workflow"].get("interdictionThreshold"),
+        d["workflow"].get("flowProcessor"), _hidden_from(d, shadowed)) for d in docs}
+    return _table(spark, list(rows.values()), "typology_id string, typology_cfg string, tenant_id string, alert_threshold long, "
+                                              "interdiction_threshold long, flow_processor string, shadowed array<string>")
 
 
 def weight_table(spark: SparkSession, docs: Iterable[Mapping]) -> DataFrame:
-    """Weights of all typologies; ``factor`` is how often the typology's expression adds the rule's term."""
-    rows = []
+    """Weights of all typologies by outcome, a row for each rule of each; ``factor`` is how often the typology's expression
+    adds the rule's term."""
+    docs = list(docs)
+    shadowed, rows = _shadowed(docs), {}
     for d in docs:
         terms = expression_terms(d["expression"])
         for rule in d["rules"]:
-            for w in rule["wghts"]:
-                rows.append((owner(d), d["id"], d["cfg"], rule["id"].split("@")[0], rule["cfg"], rule["termId"], w["ref"],
-                             float(w["wght"]), terms.count(rule["termId"])))
-    return _table(spark, rows, "owner string, typology_id string, typology_cfg string, rule_id string, cfg string, "
-                               "term_id string, sub_rule_ref string, weight double, factor int")
-
-
-def owner(doc: Mapping) -> str | None:
-    """The tenant a document belongs to; null for the default configuration, which serves every tenant."""
-    return None if doc["tenantId"] == DEFAULT_TENANT else doc["tenantId"]
+            key = (d["tenantId"], d["id"], d["cfg"], rule["id"].split("@")[0], rule["cfg"], rule["termId"])
+            rows[key] = (*key, terms.count(rule["termId"]), _hidden_from(d, shadowed),
+                         {w["ref"]: float(w["wght"]) for w in rule["wghts"]})
+    return _table(spark, list(rows.values()), "owner string, typology_id string, typology_cfg string, rule_id string, cfg string, "
+                                              "term_id string, factor int, shadowed array<string>, by_ref map<string,double>")
 
 
-def _serves(tenant: str = "tenant_id") -> Column:
-    return F.col("owner").isNull() | (F.col("owner") == F.col(tenant))
+def _served(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows joined to the configuration of their tenant, and to default configuration that the tenant has no own for. The
+    owner is part of the key, so rows do not meet other tenants' configuration."""
+    owners = F.explode(F.array_distinct(F.array("tenant_id", F.lit(DEFAULT_TENANT))))
+    return (rows.withColumn("owner", owners).join(table, ["owner", *keys])
+            .where(~F.coalesce(F.array_contains("shadowed", F.col("tenant_id")), F.lit(False))).drop("owner", "shadowed"))
 
 
 def expression_terms(expression: Sequence) -> list[str]:
@@ -101,30 +117,29 @@ def typology_expression(expression: Sequence, term: Mapping[str, Column]) -> Col
 
 def rule_weight(results: DataFrame, weights: DataFrame) -> DataFrame:
     """Weight of each outcome in each typology of its tenant that names the rule in this configuration; an outcome the
-    typology does not list weighs 0 and is flagged (ours). Lists of weights are configuration-sized."""
-    listed = weights.groupBy("owner", "typology_id", "typology_cfg", "rule_id", "cfg", "term_id", "factor").agg(
-        F.map_from_entries(F.collect_list(F.struct("sub_rule_ref", "weight"))).alias("by_ref"))
-    return (results.join(F.broadcast(listed), ["rule_id", "cfg"]).where(_serves())
+    typology does not list weighs 0 and is flagged (ours)."""
+    return (_served(results, weights, ["rule_id", "cfg"])
             .withColumn("weight", F.col("by_ref")[F.col("sub_rule_ref")])
-            .withColumn("unknown_ref", F.col("weight").isNull()).na.fill({"weight": 0.0}).drop("by_ref", "owner"))
+            .withColumn("unknown_ref", F.col("weight").isNull()).na.fill({"weight": 0.0}).drop("by_ref"))
 
 
 def typology_score(weighted: DataFrame) -> DataFrame:
     """Score per (event, typology) and the rules behind it; partial sums run before the shuffle."""
-    return weighted.groupBy("tenant_id", "e2e", "typology_cfg").agg(
+    return weighted.groupBy("tenant_id", "e2e", "typology_id", "typology_cfg").agg(
         F.sum(F.col("weight") * F.col("factor")).alias("score"), F.count(F.lit(1)).alias("rules_seen"),
         F.max("unknown_ref").alias("unknown_ref"))
 
 
 def rule_result_collect(results: DataFrame, routes: DataFrame) -> DataFrame:
     """Outcomes per (event, typology) and whether every routed rule has answered; lists are configuration-sized."""
-    expected = routes.groupBy("tenant_id", "typology_cfg").agg(F.countDistinct("rule_id").alias("expected"))
-    members = routes.select("tenant_id", "typology_cfg", "rule_id").distinct()
-    got = (results.join(members, ["tenant_id", "rule_id"]).groupBy("tenant_id", "e2e", "typology_cfg")
+    typology = ["tenant_id", "typology_id", "typology_cfg"]
+    members = routes.select(*typology, "rule_id", F.col("rule_cfg").alias("cfg")).distinct()
+    expected = members.groupBy(*typology).agg(F.count(F.lit(1)).alias("expected"))
+    got = (results.join(members, ["tenant_id", "rule_id", "cfg"]).groupBy("e2e", *typology)
            .agg(F.sort_array(F.collect_set(F.concat("rule_id", "sub_rule_ref"))).alias("outcomes"),
-                F.countDistinct("rule_id").alias("seen")))
-    return (got.join(expected, ["tenant_id", "typology_cfg"])
-            .select("tenant_id", "e2e", "typology_cfg", "outcomes", (F.col("seen") == F.col("expected")).alias("complete")))
+                F.countDistinct("rule_id", "cfg").alias("seen")))
+    return got.join(expected, typology).select(
+        "tenant_id", "e2e", "typology_id", "typology_cfg", "outcomes", (F.col("seen") == F.col("expected")).alias("complete"))
 
 
 def typology_decision(scores: DataFrame, typologies: DataFrame, flow: DataFrame | None = None) -> DataFrame:
@@ -133,9 +148,7 @@ def typology_decision(scores: DataFrame, typologies: DataFrame, flow: DataFrame
     With ``flow`` (tenant_id, e2e, outcome) a block forces interdiction where the typology names a flow processor,
     an override suppresses it (ours). A typology without an interdiction threshold never interdicts by score.
     """
-    limits = typologies.select(F.nullif(F.col("tenant_id"), F.lit(DEFAULT_TENANT)).alias("owner"), "typology_cfg",
-                               "alert_threshold", "interdiction_threshold", "flow_processor").distinct()
-    rows = scores.join(limits, "typology_cfg").where(_serves()).drop("owner")
+    rows = _served(scores, typologies.withColumnRenamed("tenant_id", "owner"), ["typology_id", "typology_cfg"])
     at_least = lambda c: F.coalesce(F.col("score") >= F.col(c), F.lit(False))
     interdict = at_least("interdiction_threshold")
     if flow is not None:
@@ -143,7 +156,7 @@ def typology_decision(scores: DataFrame, typologies: DataFrame, flow: DataFrame
         governed = F.col("flow_processor").isNotNull()
         interdict = (F.when(governed & F.col("outcome").isin("overridable-block", "non-overridable-block"), F.lit(True))
                      .when(governed & (F.col("outcome") == "override"), F.lit(False)).otherwise(interdict))
-    return rows.select("tenant_id", "e2e", "typology_cfg", "score", at_least("alert_threshold").alias("alert"),
+    return rows.select("tenant_id", "e2e", "typology_id", "typology_cfg", "score", at_least("alert_threshold").alias("alert"),
                        interdict.alias("interdict"))
 
 
@@ -159,12 +172,13 @@ def evaluation_report(pay: DataFrame, results: DataFrame, members: DataFrame, de
 
     Lists hold the routed typologies and rules, so configuration bounds them.
     """
-    rules = (results.join(members, ["rule_id", "cfg"]).where(_serves()).groupBy("tenant_id", "e2e", "typology_cfg")
+    typology = ["tenant_id", "e2e", "typology_id", "typology_cfg"]
+    rules = (_served(results, members, ["rule_id", "cfg"]).groupBy(*typology)
              .agg(F.sort_array(F.collect_list(F.struct(
                  F.col("rule_id").alias("id"), "cfg", F.col("sub_rule_ref").alias("subRuleRef"), "reason"))).alias("rules")))
-    typologies = (decisions.join(rules, ["tenant_id", "e2e", "typology_cfg"]).groupBy("tenant_id", "e2e")
+    typologies = (decisions.join(rules, typology).groupBy("tenant_id", "e2e")
                   .agg(F.sort_array(F.collect_list(F.struct(
-                      F.col("typology_cfg").alias("cfg"), F.col("score").alias("result"), "alert", "interdict",
+                      F.col("typology_id").alias("id"), F.col("typology_cfg").alias("cfg"), F.col("score").alias("result"), "alert", "interdict",
                       F.col("rules").alias("ruleResults")))).alias("typologies"),
                       F.max(F.col("alert") | F.col("interdict")).alias("_alert")))
     head = pay.select("tenant_id", "e2e", "msg_id", "t_ms", "dbtr_acct", "cdtr_acct", "amt")

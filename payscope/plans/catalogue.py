@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config.rules import FULL_SET, rule_config, tenant_rule_configs
-from ..config.typologies import NETWORK_MAPS, TYPOLOGIES, tenant_typologies
+from ..config.typologies import NETWORK_MAPS, TYPOLOGIES, tenant_typologies, typology_999
 from ..functions import palette as fp
 from ..operators import conditions as co
 from ..operators import history as hi
@@ -123,7 +123,7 @@ def _reports(spark, d):
     p = pay(spark, d)
     ev = _count_eval(p)
     members = ty.weight_table(spark, [TYPOLOGIES["999-901"], TYPOLOGIES["999-901-902"]]).select(
-        "owner", "typology_cfg", "rule_id", "cfg").distinct()
+        "owner", "shadowed", "typology_id", "typology_cfg", "rule_id", "cfg").distinct()
     return ty.evaluation_report(p, ev.results, members, ev.decisions)
 
 
@@ -210,6 +210,30 @@ def _(spark, d):
     return ms.map_payload_xml(p.select(payload.alias("payload")), schema, mapping)
 
 
+FUNCTION_MAPPING = {
+    "Reference": {"sources": ["$.head.prefix", "$.head.number"], "functions": [
+        {"name": "concat", "args": ["/"]}, {"name": "lower"}, {"name": "replace", "args": ["m/", "msg-"]}]},
+    "Cents": {"sources": ["$.money.value"], "type": "bigint", "functions": [
+        {"name": "number"}, {"name": "multiply", "args": [100]}, {"name": "round", "args": [0]}]},
+    "Total": {"sources": ["$.money.value", "$.money.fee"], "type": "double", "functions": [{"name": "sum"}]},
+    "State": {"sources": ["$.state"], "functions": [
+        {"name": "lookup", "args": [{"ACCC": "settled"}]}, {"name": "default", "args": ["open"]}]},
+    "Kind": {"sources": ["$.text"], "functions": [
+        {"name": "part", "args": ["|", 1]}, {"name": "upper"}, {"name": "substring", "args": [0, 3]}]},
+    "Party": {"sources": ["$.missing", "$.parties[1].acct"], "functions": [{"name": "first"}]}}
+
+
+@query("map_payload_functions")
+def _(spark, d):
+    p = pay(spark, d)
+    payload = F.to_json(F.struct(
+        F.struct(F.lit("M").alias("prefix"), F.col("e2e").alias("number")).alias("head"),
+        F.struct(F.col("amt").cast("string").alias("value"), F.lit("0.25").alias("fee")).alias("money"),
+        F.array(F.struct(F.col("dbtr_acct").alias("acct")), F.struct(F.col("cdtr_acct").alias("acct"))).alias("parties"),
+        F.concat_ws("|", F.lit("kind"), F.col("tx_kind")).alias("text"), F.when(F.col("ok"), "ACCC").alias("state")))
+    return ms.map_payload(p.select(payload.alias("payload")), FUNCTION_MAPPING)
+
+
 @query("ingest_pull")
 def _(spark, d):
     landed = tb.shared_dir(spark, "landed")
@@ -276,7 +300,15 @@ def _batch_pay(spark, d):
 
 @query("batch_take_on")
 def _(spark, d):
-    return _count_eval(_batch_pay(spark, d)).decisions
+    return _count_eval(_batch_pay(spark, d)).decisions.drop("typology_id")
+
+
+@query("batch_take_on_unmatched")
+def _(spark, d):
+    """Statuses that batch take-on cannot evaluate because no transfer has their end-to-end id."""
+    kept = {tx: ms.dedup_message(ms.validate(_extracted(spark, d, tx)).where("valid").drop("document", "errors"), ["cre_dt_tm", "seq"])
+            for tx in (STATUS, TRANSFER)}
+    return hi.unmatched_statuses(kept[STATUS], kept[TRANSFER]).select("tenant_id", "end_to_end_id", "message_id")
 
 
 @query("etl_extract")
@@ -500,6 +532,24 @@ def _(spark, d):
             .unionByName(missing.withColumns({"events": F.lit(0).cast("bigint"), "found": F.lit(False)})))
 
 
+@query("resolve_rule_config_as_of")
+def _(spark, d):
+    """The version of a rule's configuration in force when a payment was made; one tenant has none for the first days."""
+    events = pay(spark, d).select("tenant_id", "e2e", "t_ms", F.lit("901").alias("rule_id"))
+    versions = spark.createDataFrame([("tenant-001", "901", 0, "a", 1), ("tenant-001", "901", JAN_15, "b", 3),
+                                      ("tenant-001", "901", JAN_15 + 7 * DAY, "c", 2), ("tenant-002", "901", JAN_15 - 5 * DAY, "d", 1)],
+                                     "tenant_id string, rule_id string, since long, name string, days int")
+    found = tl.as_of(events, versions, ["tenant_id", "rule_id"], "t_ms", "since")
+    return found.select("tenant_id", "e2e", "version.name", "version.days")
+
+
+@query("rule_901_as_of")
+def _(spark, d):
+    """Rule 901 with a look-back of one day until January 15th and of three days from then on."""
+    docs = [{**rule_config("901", maxQueryRange=n * DAY), "validFrom": since} for n, since in ((1, None), (3, JAN_15))]
+    return evaluate_rules(pay(spark, d), docs).select("tenant_id", "e2e", "value", "sub_rule_ref")
+
+
 @query("resolve_typology_config")
 def _(spark, d):
     events, routes = _routed(spark, d)
@@ -554,12 +604,28 @@ def _(spark, d):
     return ev.scores.select("tenant_id", "e2e", "score")
 
 
+def shadowing_typologies() -> list[dict]:
+    """A default typology, a second one of another id under the same cfg, and a tenant's own with three times the weights."""
+    default, second, own = typology_999("DEFAULT", "999@4.0.0"), typology_999("DEFAULT", "999@4.0.0"), typology_999("tenant-001", "999@4.0.0")
+    second["id"] = "typology-second"
+    for rule in own["rules"]:
+        for w in rule["wghts"]:
+            w["wght"] = 3 * float(w["wght"])
+    return [default, second, own]
+
+
+@query("typology_tenants")
+def _(spark, d):
+    results = evaluate_rules(pay(spark, d), [rule_config("901"), rule_config("902")])
+    return score_results(results, shadowing_typologies()).decisions
+
+
 @query("rule_result_collect")
 def _(spark, d):
     p = pay(spark, d)
     res = evaluate_rules(p, [rule_config("901"), rule_config("902")])
     routes = ty.expand_map(spark, NETWORK_MAPS["tenants"]).where("rule_id <> 'EFRuP'")
-    return ty.rule_result_collect(res, routes).withColumn("outcomes", F.array_join("outcomes", ","))
+    return ty.rule_result_collect(res, routes).withColumn("outcomes", F.array_join("outcomes", ",")).drop("typology_id")
 
 
 @query("tenant_rollup")
@@ -651,7 +717,7 @@ QUERIES["typology_interdict"] = partial(_decision, "interdict")
 @query("flow_override")
 def _(spark, d):
     p = pay(spark, d)
-    return _count_eval(p, co.event_flow(p, governed_edges(p))).decisions
+    return _count_eval(p, co.event_flow(p, governed_edges(p))).decisions.drop("typology_id")
 
 
 @query("adjudicate")
@@ -662,7 +728,7 @@ def _(spark, d):
 
 @query("evaluate_tenants")
 def _(spark, d):
-    return evaluate_tenants(pay(spark, d), tenant_rule_configs(), tenant_typologies())
+    return evaluate_tenants(pay(spark, d), tenant_rule_configs(), tenant_typologies()).drop("typology_id")
 
 
 @query("evaluation_report")
@@ -919,6 +985,17 @@ def _(spark, d):
     return rp.counterparty_network(pay(spark, d))
 
 
+@query("rep_counterparty_hops")
+def _(spark, d):
+    p = pay(spark, d)
+    return rp.counterparties(p, p.select("tenant_id", F.col("dbtr_acct").alias("account")))
+
+
+@query("rep_case_lifecycle")
+def _(spark, d):
+    return rp.case_lifecycle(rp.case_events(table(spark, d, "orders"), table(spark, d, "lineitem")))
+
+
 @query("rep_alert_history")
 def _(spark, d):
     return rp.alert_history(pay(spark, d), _status(spark, d))

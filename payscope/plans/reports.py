@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.timeline import Measure, scan
+from ..sources.shared import staged
 
 DAY_MS, MINUTE_MS = 86_400_000, 60_000
 
@@ -126,6 +127,80 @@ def counterparty_network(pay: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.col("payments") * F.col("next_payments")), F.lit(0)).alias("two_step_payments")))
 
 
+def counterparties(pay: DataFrame, accounts: DataFrame, hops: int = 2) -> DataFrame:
+    """For given accounts (tenant_id, account): how many distinct accounts payments lead to in exactly so many steps.
+
+    Each step goes on from the accounts reached in the step before, each once for a given account, and leaves out those
+    reached already, the given one included. Work grows with what the given accounts reach.
+    """
+    edges = staged(pay.select("tenant_id", F.col("dbtr_acct").alias("node"), F.col("cdtr_acct").alias("next"))
+                   .where("node is not null and next is not null").distinct(), "edges")
+    given = accounts.select("tenant_id", "account").distinct()
+    seen = given.withColumns({"node": F.col("account"), "hop": F.lit(0)})
+    for hop in range(1, hops + 1):
+        step = (seen.where(F.col("hop") == hop - 1).join(edges, ["tenant_id", "node"])
+                .select("tenant_id", "account", F.col("next").alias("node")).distinct()
+                .join(seen.select("tenant_id", "account", "node"), ["tenant_id", "account", "node"], "left_anti"))
+        seen = staged(seen.unionByName(step.withColumn("hop", F.lit(hop))), "reached")
+    wanted = given.withColumn("hop", F.explode(F.sequence(F.lit(1), F.lit(hops))))
+    found = seen.where("hop > 0").groupBy("tenant_id", "account", "hop").agg(F.count(F.lit(1)).alias("counterparties"))
+    return wanted.join(found, ["tenant_id", "account", "hop"], "left").na.fill({"counterparties": 0})
+
+
+SKETCH = 10  # lgConfigK of the sketches: 1024 registers, a standard error near 3 %
+
+
+def counterparties_sketched(pay: DataFrame) -> DataFrame:
+    """For every account: estimates of the distinct accounts that payments lead to in one step, and in one or two.
+
+    A sketch for each account is sent along each edge once and merged by aggregation, so the work grows with the edges,
+    not with what is reached; the account itself counts where payments lead back.
+    """
+    edges = staged(pay.select("tenant_id", F.col("dbtr_acct").alias("account"), F.col("cdtr_acct").alias("next"))
+                   .where("account is not null and next is not null").distinct(), "edges")
+    near = staged(edges.groupBy("tenant_id", "account").agg(F.hll_sketch_agg("next", F.lit(SKETCH)).alias("one")), "sketches")
+    beyond = (edges.join(near.select("tenant_id", F.col("account").alias("next"), "one"), ["tenant_id", "next"])
+              .groupBy("tenant_id", "account").agg(F.hll_union_agg("one").alias("two")))
+    both = near.join(beyond, ["tenant_id", "account"], "left")
+    return both.select("tenant_id", "account", F.hll_sketch_estimate("one").alias("one_step"), F.hll_sketch_estimate(
+        F.coalesce(F.hll_union("one", "two"), "one")).alias("two_steps"))
+
+
+def case_events(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """A log of case events over orders and their lines: opened with the order; each line shipped escalates it (returned),
+    reopens it (accepted), closes it (done) or puts it under review. ``seq`` orders events of one day."""
+    opened = orders.select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("day"), F.lit(0).alias("seq"),
+                           F.lit("open").alias("state"))
+    state = (F.when(F.col("l_returnflag") == "R", "escalated").when(F.col("l_returnflag") == "A", "open")
+             .when(F.col("l_linestatus") == "F", "closed").otherwise("review"))
+    return opened.unionByName(lines.select(F.col("l_orderkey").alias("case_id"), F.to_date("l_shipdate").alias("day"),
+                                           F.col("l_linenumber").cast("int").alias("seq"), state.alias("state")))
+
+
+def case_lifecycle(log: DataFrame) -> DataFrame:
+    """Per state: stays in it, cases that were in it, days spent in it, cases now in it, and returns to it from closed.
+
+    A stay is a run of equal states. Of the events of one day the last one counts (of equal ``seq`` the greatest state). What was before comes from the time
+    line of the case, so one case may hold most of the log; the last stay of a case has no length yet.
+    """
+    days = (log.where("case_id is not null and day is not null")
+            .groupBy("case_id", (F.unix_date("day").cast("bigint") * DAY_MS).alias("t_ms"))
+            .agg(F.max(F.struct("seq", "state"))["state"].alias("state")))
+    days = staged(days, "case-days")
+    at = F.struct("t_ms", "state").alias("last")
+    line = scan(days.select("case_id", "t_ms", F.lit(True).alias("real"), at), ["case_id"], "t_ms", [Measure("last", "max")],
+                block_ms=64 * DAY_MS)
+    known = days.join(line, ["case_id", "t_ms"])
+    begins = F.col("last").isNull() | (F.col("last.state") != F.col("state"))
+    stays = known.groupBy("state").agg(
+        F.count(F.when(begins, 1)).alias("stays"), F.countDistinct("case_id").alias("cases"),
+        F.count(F.when(begins & (F.col("last.state") == "closed"), 1)).alias("from_closed"))
+    spent = known.where("last is not null").groupBy(F.col("last.state").alias("state")).agg(
+        F.sum(((F.col("t_ms") - F.col("last.t_ms")) / DAY_MS).cast("bigint")).alias("days"))
+    now = days.groupBy("case_id").agg(F.max_by("state", "t_ms").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("cases_now"))
+    return stays.join(spent, "state", "left").join(now, "state", "left").na.fill(0)
+
+
 def transaction_graph(pay: DataFrame) -> DataFrame:
     """Degree, weighted degree and flow per account."""
     edges = pay.groupBy("tenant_id", "dbtr_acct", "cdtr_acct").agg(

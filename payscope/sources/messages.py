@@ -1,13 +1,14 @@
 """Message intake: projection of JSON documents, checks, quarantine, de-duplication, payload mapping."""
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from ..functions import mapping as mapped_functions
+from .shared import staged
 
 PACS002, PACS008 = "pacs.002.001.12", "pacs.008.001.10"
 PAIN001, PAIN013 = "pain.001.001.11", "pain.013.001.09"
@@ -117,35 +118,86 @@ def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 def dedup_message(rows: DataFrame, order: Sequence[str], extra_key: Sequence[str] = ()) -> DataFrame:
     """The rows that two unique keys, (message_id, tenant_id) and (end_to_end_id, [tx_tp,] tenant_id), accept in order.
 
-    A row is refused if a kept row has one of its keys; a refused row blocks nobody. A row that comes first under both
-    keys is kept, those that share a key with it are refused, and the few that are left are settled in the same way,
-    until none is. Mostly one pass does. Passes are written to the shared folder.
+    A row is refused if a kept row has one of its keys; a refused row blocks nobody. A key without its id clashes with
+    none; equal rows are one. A row that comes first under both keys is kept and those that share a key with it are
+    refused, which mostly settles all. What is left, chains of clashes, falls into connected pieces that are found in a
+    number of passes that grows with the logarithm of the longest chain; each piece is then settled in order by one task,
+    which holds the piece's keys. Passes are written to the shared folder.
     """
-    spark, one, two = rows.sparkSession, ["tenant_id", "message_id"], ["tenant_id", "end_to_end_id", *extra_key]
-    rest = [c for c in rows.columns if c not in order]
-    ranked = F.struct(*order, *rest)
-
-    def stored(frame: DataFrame) -> DataFrame:
-        path = shared_dir(spark, "settled")
-        frame.write.parquet(path)
-        return spark.read.parquet(path)
-
-    left, kept = stored(rows.distinct()), []
+    given = F.struct(*order, *[c for c in rows.columns if c not in order])
+    key = lambda name, own: F.when(F.col(own).isNotNull(), F.concat_ws(
+        "|", F.lit(name), *[F.base64(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
+                            for c in ("tenant_id", own, *(extra_key if name == "e" else ()))]))
+    left = staged(rows.distinct().select(given.alias("_row"), key("m", "message_id").alias("_one"),
+                                         key("e", "end_to_end_id").alias("_two")), "messages")
+
+    def firsts(name: str) -> DataFrame:
+        return left.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("_row").alias("_row")).select("_row").unionByName(
+            left.where(F.col(name).isNull()).select("_row"))
+
+    chosen = staged(left.join(firsts("_one").intersect(firsts("_two")), "_row", "left_semi"), "settled")
+    rest = (left.where("_one is not null or _two is not null").join(chosen.select("_one"), "_one", "left_anti")
+            .join(chosen.select("_two"), "_two", "left_anti").join(chosen.select("_row"), "_row", "left_anti"))
+    rest = staged(rest.select("_row", "_one", "_two"), "clashing")
+    kept = chosen
+    if not rest.isEmpty():
+        pieces = connected(rest.where("_one is not null and _two is not null").select("_one", "_two"))
+        placed = rest.join(pieces.withColumnRenamed("node", "_one"), "_one", "left").withColumn(
+            "_piece", F.coalesce("least", "_one", "_two")).drop("least")
+        kept = kept.unionByName(_settled(placed))
+    return kept.select("_row.*").select(*rows.columns)
+
+
+def _settled(placed: DataFrame) -> DataFrame:
+    """Rows of each piece in order, those whose keys no kept row has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, seen = None, set()
+        for batch in batches:
+            keep = []
+            for at, *keys in zip(*(batch.column(c).to_pylist() for c in ("_piece", "_one", "_two"))):
+                if at != piece:
+                    piece, seen = at, set()
+                free = not any(k in seen for k in keys)
+                if free:
+                    seen.update(k for k in keys if k is not None)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["_row", "_one", "_two"])
+
+    ordered = placed.repartition("_piece").sortWithinPartitions("_piece", "_row")
+    return ordered.mapInArrow(run, placed.select("_row", "_one", "_two").schema)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``node, least``: the least node that each node of an undirected graph (two text columns) is connected to.
+
+    Edges are turned to point to smaller nodes, by turns of the greater and of the smaller neighbours, until they are
+    stars; a path of n edges takes about log n turns.
+    """
+    one, two = edges.columns
+    now = staged(edges.select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct(), "edges")
+    state = None
     while True:
-        first = left.groupBy(*one).agg(F.min(ranked).alias("_row")).select("_row")
-        second = left.groupBy(*two).agg(F.min(ranked).alias("_row")).select("_row")
-        chosen = stored(first.intersect(second).select("_row.*").select(*rows.columns))
-        kept.append(chosen)
-        left = stored(left.join(chosen.select(*one), one, "left_anti").join(chosen.select(*two), two, "left_anti"))
-        if left.isEmpty() or chosen.isEmpty():
-            return reduce(DataFrame.unionByName, kept)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == state:
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("least"))
+            return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
+        state = after
 
 
 def map_payload(payloads: DataFrame, mapping: Mapping[str, dict], keep: Sequence[str] = ()) -> DataFrame:
     """Configured mapping of JSON payloads (column ``payload``) to the target model.
 
-    ``mapping`` is {target: {"sources": [path, ...], "type": ddl, "constant": x, "delimiter": s}}: one source is cast
-    to the type, several are joined as text, a constant needs no source. Payloads that are not JSON give nulls.
+    ``mapping`` is {target: {"sources": [path, ...], "type": ddl, "constant": x, "delimiter": s, "functions": [...]}}: one
+    source is cast to the type, several are joined as text, a constant needs no source. Configured functions take the
+    sources as text, the first one all of them, each next one the result before (``functions/mapping.py``). Payloads that
+    are not JSON give nulls.
     """
     parsed = payloads.withColumn("_v", F.try_parse_json("payload"))
     return parsed.select(*keep, *[_mapped(spec, lambda p, t: F.try_variant_get("_v", p, t)).alias(target)
@@ -164,6 +216,8 @@ def _mapped(spec: Mapping, get) -> Column:
     if "constant" in spec:
         return F.lit(spec["constant"]).cast(kind)
     sources = spec["sources"]
+    if spec.get("functions"):
+        return mapped_functions.apply([get(s, "string") for s in sources], spec["functions"]).cast(kind)
     if len(sources) == 1:
         return get(sources[0], kind)
     return F.concat_ws(spec.get("delimiter", ""), *[get(s, "string") for s in sources]).cast(kind)

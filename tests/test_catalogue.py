@@ -18,7 +18,7 @@ def test_every_query_has_a_statement():
 
 
 def test_entry(spark):
-    assert driver.entry(spark).columns == ["tenant_id", "e2e", "typology_cfg", "score", "alert", "interdict"]
+    assert driver.entry(spark).columns == ["tenant_id", "e2e", "typology_id", "typology_cfg", "score", "alert", "interdict"]
 
 
 @pytest.mark.parametrize("name", NAMES)
