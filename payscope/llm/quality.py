@@ -111,7 +111,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(_covered(F.col("windows"))).alias("n_repeat_words"),
         _count(F.col("lines")).alias("n_lines"),
         _count(F.array_intersect("words", stop)).alias("n_stop_words"),
-        F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")).cast("long").alias("n_alpha_words"),
+        _count(F.filter("words", lambda w: w.rlike(r"\p{L}"))).alias("n_alpha_words"),
         _count(F.filter("lines", lambda x: x.rlike(r"^\s*[-*•●]"))).alias("n_bullet_lines"),
         _count(F.filter("lines", lambda x: x.rlike(r"(\.\.\.|…)\s*$"))).alias("n_ellipsis_lines"),
     ).alias("quality"))

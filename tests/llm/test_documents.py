@@ -271,3 +271,14 @@ def test_near_duplicates(spark, edge_docs, no_docs):
     assert kept.columns == docs.columns
     assert sorted(roots[plain(r.text)] for r in kept.collect()) == sorted(set(roots.values()))
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["7", "#", "x", "漢", "7 ", ". "])
+def test_quality_of_very_long_words_is_linear(spark, unit):
+    """Ten megabytes of digits, marks or letters, as one word or as many, take seconds."""
+    import time
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(unit), 10_000_000 // len(unit.encode())).alias("text"))
+    start = time.perf_counter()
+    row = quality.judged(docs).select("quality.n_alpha_words", "quality.n_words").first()
+    assert time.perf_counter() - start < 60
+    assert row["n_alpha_words"] == (row["n_words"] if unit in "x漢" else 0)
