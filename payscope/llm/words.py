@@ -4,7 +4,8 @@ A byte-level tokenizer cuts a text before every space that is followed by a char
 stands around it, so the ids of a text are those of its space-led words one after another, and the ids of a word are
 those of its pre-tokens. Each distinct pre-token is encoded by the library once per batch; those met first, and the words
 met first, are kept for later batches. Texts with a space inside a longer run of white space, where the cut would be
-elsewhere, are cut into pre-tokens as a whole.
+elsewhere, are cut into pre-tokens as a whole. Texts that hold one of the tokenizer's added tokens are left to the library
+whole.
 """
 from __future__ import annotations
 
@@ -52,6 +53,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.path, self.untouched = path, None
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.find = regex.compile(pattern).findall
@@ -84,9 +88,21 @@ class WordEncoder:
         get = known.__getitem__
         known.update(zip(other, [b"".join(map(get, own)) for own in cut]))
 
+    def _whole(self, text: str) -> bytes:
+        """A text with added tokens in it, by the tokenizer as it is."""
+        if self.untouched is None:
+            from tokenizers import Tokenizer
+
+            self.untouched = Tokenizer.from_file(self.path)
+        return np.array(self.untouched.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = ["" if text is None else text for text in texts]
+        special = {i: self._whole(text) for i, text in enumerate(texts) if self.added and self.added.search(text)}
+        if special:
+            rest = self.encode(["" if i in special else text for i, text in enumerate(texts)])
+            return [special.get(i, ids) for i, ids in enumerate(rest)]
         words = [[text] if INNER_SPACE.search(text) else space_led_words(text) for text in texts]
         held = len(self.known)
         self._learn(list(set().union(*words) - self.known.keys()))
