@@ -24,7 +24,7 @@ from payscope.sources.tables import shared_dir
 from .words import INNER_SPACE, space_led_words
 
 #: Characters of a chunk, about (one longer document is a chunk of its own), and bytes of text for each word bucket.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 15_000_000
 BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 64
 MOST_BUCKETS = 1 << 16
