@@ -1075,7 +1075,7 @@ def run_stream(spark, d, slices: int = 3, rules=None, flow=None, payments=None)
 
 @query("stream_rules")
 def _(spark, d):
-    root = run_stream(spark, d, rules=lambda: [rule_config(r) for r in STREAM_RULES])
+    root = run_stream(spark, d, slices=2, rules=lambda: [rule_config(r) for r in STREAM_RULES])
     return spark.read.parquet(f"{root}/results").select("tenant_id", "e2e", "rule_id", "value", "sub_rule_ref")
 
 
