@@ -28,6 +28,7 @@ def _outcomes(rule: str) -> list[str]:
     return [".err", *exits, *[b[0] for b in bands]]
 
 
+# Term ids, and the one of the event-flow rule below, follow the published form.
 def term(rule: str, cfg: str = "4.0.0") -> str:
     at = "at" + cfg.replace(".", "")
     return f"v{rule}{at}{at}"
