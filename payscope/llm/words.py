@@ -1,34 +1,35 @@
-"""Encoding with the tokenizers library, one distinct pre-token at a time.
+"""Encoding with the tokenizers library, one distinct word at a time.
 
 A byte-level tokenizer cuts a text before every space that is followed by a character other than white space, whatever
-stands around it, so the ids of a text are those of its space-led words one after another, and the ids of a word are
-those of its pre-tokens. Each distinct pre-token is encoded by the library once per batch; those met first, and the words
-met first, are kept for later batches. Texts with a space inside a longer run of white space, where the cut would be
-elsewhere, are cut into pre-tokens as a whole. Texts that hold one of the tokenizer's added tokens are left to the library
-whole.
+stands around it, so the ids of a text are those of its space-led words one after another. The library encodes each
+distinct word once per batch; the words met first are kept for later batches. Plain words, whose only space is the one
+they begin with, go to the library many in one string: the strings' ids are cut again before each id that begins with a
+space. Texts that hold one of the tokenizer's added tokens are left to the library whole.
 """
 from __future__ import annotations
 
 import itertools
 import os
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A space between two white-space characters: there a word does not begin at the space. Python's class of white space
+#: A space between two white-space characters: there a word does not begin at each space. Python's class of white space
 #: holds every character of the tokenizer's class.
 INNER_SPACE = re.compile(r"\s \s")
-#: Words and pre-tokens kept by one Python worker (about 100 MB at most), and characters given to the library at once.
-KEPT_WORDS = 450_000
-ENCODE_CHARS = 200_000
+WORD_START = re.compile(r"(?= \S)")
+#: A word that may stand between others of its kind in one string: a space at its start, none inside, no white space at
+#: either end of the rest.
+PLAIN = re.compile(r" [^\s](?:[^ ]*[^\s])?")
+#: Words kept by one Python worker (about 60 MB at most), words of one string, and strings given to the library at once.
+KEPT_WORDS = 300_000
+STRING_WORDS = 500
+STRINGS = 20
 #: Characters of text in one batch of documents; one longer document makes a batch of its own.
 BATCH_CHARS = 4_000_000
 
@@ -36,80 +37,63 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 def space_led_words(text: str) -> list[str]:
-    """The words of a text without INNER_SPACE, each with the space before it; their concatenation is the text."""
+    """The words of a text, each with the space before it; their concatenation is the text."""
+    if INNER_SPACE.search(text):
+        return WORD_START.split(text)
     first, *rest = text.split(" ")
     return [first, *[" " + word for word in rest]]
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 16-bit or 32-bit integers, without special tokens.
+    """Ids of whole texts as little-endian 16-bit or 32-bit integers, without special tokens, by a byte-level tokenizer
+    file whose pre-tokens begin at every space before a character other than white space."""
 
-    ``pattern`` is the one by which the tokenizer's byte-level step cuts; the library then gets the pieces as they are.
-    """
-
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.path, self.untouched = path, None
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.find = regex.compile(pattern).findall
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}  # a pre-token is a word of its own, so one table holds both
-
-    def _library(self, tokens: list[str]) -> Iterator[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        start = chars = 0
-        for i, token in enumerate(tokens):
-            chars += len(token)
-            if chars >= ENCODE_CHARS or i + 1 == len(tokens):
-                for found in self.tokenizer.encode_batch_fast(tokens[start:i + 1], add_special_tokens=False):
-                    ids = array(code, found.ids)
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    yield ids.tobytes()
-                start, chars = i + 1, 0
+        space = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.after_space[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, self.dtype) for found in
+                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Put words among those known. A space and letters are one pre-token; anything else is left to the pattern."""
-        known = self.known
-        plain = [word for word in words if word[0] == " " and word[1:].isalpha()]
-        other = list(set(words).difference(plain))
-        cut = [self.find(word) for word in other]
-        fresh = list(set().union(*cut) - known.keys())
-        known.update(zip(plain, self._library(plain)))
-        fresh = [token for token in fresh if token not in known]
-        known.update(zip(fresh, self._library(fresh)))
-        get = known.__getitem__
-        known.update(zip(other, [b"".join(map(get, own)) for own in cut]))
-
-    def _whole(self, text: str) -> bytes:
-        """A text with added tokens in it, by the tokenizer as it is."""
-        if self.untouched is None:
-            from tokenizers import Tokenizer
-
-            self.untouched = Tokenizer.from_file(self.path)
-        return np.array(self.untouched.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        """Put words among those known."""
+        known, plain = self.known, list(filter(PLAIN.fullmatch, words))
+        for at in range(0, len(plain), STRING_WORDS * STRINGS):
+            strings = [plain[k:k + STRING_WORDS]
+                       for k in range(at, min(at + STRING_WORDS * STRINGS, len(plain)), STRING_WORDS)]
+            for own, ids in zip(strings, self._library(["".join(own) for own in strings])):
+                cuts = (np.flatnonzero(self.after_space[ids]) * ids.itemsize).tolist()
+                if len(cuts) != len(own):
+                    raise ValueError("the tokenizer does not cut before every space")
+                data = ids.tobytes()
+                known.update(zip(own, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
+        other = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        for at in range(0, len(other), STRING_WORDS):
+            own = other[at:at + STRING_WORDS]
+            known.update(zip(own, [ids.tobytes() for ids in self._library(own)]))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = ["" if text is None else text for text in texts]
-        special = {i: self._whole(text) for i, text in enumerate(texts) if self.added and self.added.search(text)}
-        if special:
-            rest = self.encode(["" if i in special else text for i, text in enumerate(texts)])
-            return [special.get(i, ids) for i, ids in enumerate(rest)]
-        words = [[text] if INNER_SPACE.search(text) else space_led_words(text) for text in texts]
-        held = len(self.known)
+        whole = [self.added is not None and self.added.search(text) is not None for text in texts]
+        words = [[] if own else space_led_words(text) for text, own in zip(texts, whole)]
         self._learn(list(set().union(*words) - self.known.keys()))
         get = self.known.__getitem__
-        ids = [b"".join(map(get, own)) for own in words]
+        ids = [self._library([text])[0].tobytes() if own else b"".join(map(get, found))
+               for text, found, own in zip(texts, words, whole)]
         if len(self.known) > KEPT_WORDS:  # what came last goes
-            for word in list(itertools.islice(reversed(self.known), len(self.known) - max(held, 1))):
+            for word in list(itertools.islice(reversed(self.known), len(self.known) - KEPT_WORDS)):
                 del self.known[word]
         return ids
 
