@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from payscope.sources.tables import shared_dir
 
-from .words import encoder, in_batches
+from .words import crc_of_ids, encoder, forget, in_batches
 
 #: Columns that may enter the active set at once, and rounds at most; what is not solved by then is packed greedily.
 ENTER = 48
@@ -215,9 +215,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int, window: int, text: str
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 0, window: int = 1024, text: str = "text",
-         key: str = "doc_id") -> DataFrame:
-    """One row for each piece: ``key``, ``start`` in its document, ``length``, ``ids`` (little-endian, ``wide`` bytes
-    each), ``doc_tokens``, ``sequence_id`` and ``offset`` there.
+         key: str = "doc_id", digest: bool = False) -> DataFrame:
+    """One row for each piece: ``key``, ``start`` in its document, ``length``, ``doc_tokens``, ``sequence_id`` and
+    ``offset`` there, ``wide`` and ``ids`` (little-endian, ``wide`` bytes each), or with ``digest`` ``ids_crc32`` (the ids
+    as 32-bit integers) instead of the last two.
 
     Every id lies in exactly one piece, every sequence is full but the last. A null text is a document of the end id
     alone; null keys are kept; repeated rows and ties are documents like any other; other columns are not read. Sequences
@@ -249,24 +250,28 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, window: int = 1024, text
     held = spark.sparkContext.broadcast(table)  # bounded by the window, not by the documents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         rows = held.value
         by_source = {int(s): rows[rows[:, 0] == s] for s in np.unique(rows[:, 0])}
         for batch in batches:
             out = []
+
+            def add(doc, start: int, length: int, n: int, sequence: int, offset: int, wide: int, ids: bytes) -> None:
+                own = ids[start * wide:(start + length) * wide]
+                out.append((doc, start, length, n, sequence, offset, *([crc_of_ids(wide, own)] if digest else [wide, own])))
+
             for doc, n, rest, place, whole, wide, ids in zip(*[batch[c].tolist() for c in batch.columns]):
                 for k in range(n // window):
-                    out.append((doc, k * window, window, ids[k * window * wide:(k + 1) * window * wide], n, whole + k, 0, wide))
+                    add(doc, k * window, window, n, whole + k, 0, wide, ids)
                 if rest:
                     own = by_source[rest]
-                    begin = n - rest
                     for _, rank, _, skip, length, sequence, offset in own[
                             (own[:, 1] <= place) & (place < own[:, 1] + own[:, 2])].tolist():
-                        a = (begin + skip) * wide
-                        out.append((doc, begin + skip, length, ids[a:a + length * wide], n, sequence + place - rank, offset,
-                                    wide))
-            frame = pd.DataFrame(out, columns=[key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "wide"])
+                        add(doc, n - rest + skip, length, n, sequence + place - rank, offset, wide, ids)
+            frame = pd.DataFrame(out, columns=[key, *names])
             frame[key] = frame[key].astype("Int64")
             yield frame
 
-    shape = f"`{key}` long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, wide int"
-    return joined.mapInPandas(run, shape)
+    names = ["start", "length", "doc_tokens", "sequence_id", "offset", *(["ids_crc32"] if digest else ["wide", "ids"])]
+    kinds = {"wide": "int", "ids": "binary"}
+    return joined.mapInPandas(run, ", ".join([f"`{key}` long", *(f"{name} {kinds.get(name, 'long')}" for name in names)]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from payscope.sources.tables import shared_dir
 
 from . import (bpe, line_spread, masked_lm, packing, piecewise, preferences, quality, ranked_search, sharding, simhash,
-               source_schedule, statements, token_store, turn_repair, words)
+               source_schedule, statements, token_store, turn_repair)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,8 +59,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """All documents written as token files and read back."""
     store = shared_dir(spark, "token-store")
     token_store.write(table(spark, folder, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"), end=2)
-    return token_store.read(spark, store).select("doc_id", "start", "n_tokens",
-                                                 words.ids_crc32("wide", "ids").alias("ids_crc32"))
+    return token_store.read(spark, store, digest=True)
 
 
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,9 +75,7 @@ def nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0, window=1024)
-    return packed.select("doc_id", "start", "length", words.ids_crc32("wide", "ids").alias("ids_crc32"), "doc_tokens",
-                         "sequence_id", "offset")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=0, window=1024, digest=True)
 
 
 def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

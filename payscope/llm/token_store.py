@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from payscope.sources.tables import shared_dir
 
-from .words import encoder, in_batches
+from .words import crc_of_ids, encoder, forget, in_batches
 
 #: The dictionary is fitted on so many documents at most, taken by hash among those of at most so many characters.
 SAMPLE_DOCS = 2_000
@@ -136,27 +136,36 @@ def _reader(folder: str, shared: bytes):
     return read
 
 
-def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
-    """All documents of a store from its files: ``key``, ``start``, ``n_tokens``, ``wide`` and ``ids``. A file whose
-    frames were made with another dictionary than the store's is refused."""
+def read(spark: SparkSession, folder: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
+    """All documents of a store from its files: ``key``, ``start``, ``n_tokens``, ``wide`` and ``ids``, or with ``digest``
+    ``ids_crc32`` (the ids as 32-bit integers) instead of the last two.
+
+    One row for each document written, those with null or equal keys and empty texts too; an empty store gives no row. A
+    file whose frames were made with another dictionary than the store's is refused.
+    """
     known = spark.read.parquet(f"{folder}/dictionary").first()
     shared = bytes(known["bytes"]) if known else b""
     name = hashlib.sha256(shared).hexdigest()
     held = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         read_frame = _reader(folder, held.value)
         for batch in batches:
             if (batch["dictionary"] != name).any():
                 raise ValueError("the index names another dictionary")
             for at in range(0, len(batch), 500):
                 rows = batch.iloc[at:at + 500]
-                ids = [read_frame(*x) for x in zip(rows["file"], rows["at"].tolist(), rows["bytes"].tolist())]
-                yield pd.DataFrame({key: rows[key].astype("Int64"), "start": rows["start"], "n_tokens": rows["n_tokens"],
-                                    "wide": rows["wide"], "ids": ids})
-
-    return spark.read.parquet(f"{folder}/index").mapInPandas(
-        run, f"`{key}` long, start long, n_tokens long, wide int, ids binary")
+                wide = rows["wide"].tolist()
+                found = map(read_frame, rows["file"], rows["at"].tolist(), rows["bytes"].tolist())
+                out = pd.DataFrame({key: rows[key].astype("Int64"), "start": rows["start"], "n_tokens": rows["n_tokens"]})
+                if digest:
+                    yield out.assign(ids_crc32=np.array(list(map(crc_of_ids, wide, found)), np.int64))
+                else:
+                    yield out.assign(wide=wide, ids=list(found))
+
+    last = "ids_crc32 long" if digest else "wide int, ids binary"
+    return spark.read.parquet(f"{folder}/index").mapInPandas(run, f"`{key}` long, start long, n_tokens long, {last}")
 
 
 def read_one(spark: SparkSession, folder: str, doc: int, key: str = "doc_id") -> list[int]:

@@ -15,9 +15,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: A space between two white-space characters: there a word does not begin at each space. Python's class of white space
 #: holds every character of the tokenizer's class.
@@ -105,6 +102,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Free the worker's encoders; work that follows in the same worker needs none."""
+    _ENCODERS.clear()
+
+
 def in_batches(texts: list[str | None]) -> Iterator[slice]:
     """Slices of a list of texts of about BATCH_CHARS each."""
     start = chars = 0
@@ -120,10 +122,3 @@ def in_batches(texts: list[str | None]) -> Iterator[slice]:
 def crc_of_ids(wide: int, ids: bytes) -> int:
     """CRC-32 of ids as little-endian 32-bit integers."""
     return zlib.crc32(ids if wide == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-
-
-def ids_crc32(wide: str, ids: str) -> Column:
-    def run(wide_: pd.Series, ids_: pd.Series) -> pd.Series:
-        return pd.Series([crc_of_ids(w, i) for w, i in zip(wide_, ids_)], dtype="int64")
-
-    return F.pandas_udf(run, "long")(wide, ids)

@@ -182,3 +182,27 @@ def test_pieces_hold_every_id_once(spark, edge_docs, no_docs, library):
             assert [i for _, ids, _ in sorted(docs[key]) for i in ids] == whole[0]
             assert {n for _, _, n in docs[key]} == {len(whole[0])}
     assert packing.pack(no_docs, JSON).count() == 0
+
+
+def test_digests_are_those_of_the_ids(spark, edge_docs):
+    def both(rows_of):
+        whole, digests = rows_of(False).collect(), rows_of(True).collect()
+        columns = [c for c in digests[0].__fields__ if c != "ids_crc32"]
+        ids = [np.frombuffer(r.ids, f"<u{r.wide}") for r in whole]
+        assert (Counter((*(r[c] for c in columns), crc(i)) for r, i in zip(whole, ids))
+                == Counter((*(r[c] for c in columns), r.ids_crc32) for r in digests))
+
+    store = shared_dir(spark, "test-store")
+    token_store.write(edge_docs, store, JSON, end=2)
+    both(lambda digest: token_store.read(spark, store, digest=digest))
+    both(lambda digest: packing.pack(edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"]), JSON, digest=digest))
+
+
+def test_strings_of_plain_words_are_cut_at_every_word(library):
+    letters = ["a", "Z", "é", "中", "5", "!", "'", "\n", "\t", " ", "\u0085", "\x1c", "​", "́", "<", "|"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice([*letters, " ", " ", " "], size)) for size in rng.integers(0, 40, 3000)]
+    book = words.WordEncoder(JSON)
+    for text, ids in zip(texts, book.encode(texts)):
+        assert np.frombuffer(ids, book.dtype).tolist() == library(text), repr(text)
+        assert "".join(words.space_led_words(text)) == text
