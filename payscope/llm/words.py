@@ -20,15 +20,14 @@ import numpy as np
 #: holds every character of the tokenizer's class.
 INNER_SPACE = re.compile(r"\s \s")
 WORD_START = re.compile(r"(?= \S)")
-#: A word that may stand between others of its kind in one string: a space at its start, none inside, no white space at
-#: either end of the rest.
-PLAIN = re.compile(r" [^\s](?:[^ ]*[^\s])?")
-#: Words kept by one Python worker (about 60 MB at most), words of one string, and strings given to the library at once.
-KEPT_WORDS = 300_000
+#: A word that may stand between others of its kind in one string: no space, no white space at either end.
+PLAIN = re.compile(r"[^\s](?:[^ ]*[^\s])?")
+#: Words kept by one Python worker (about 90 MB at most), words of one string, and strings given to the library at once.
+KEPT_WORDS = 450_000
 STRING_WORDS = 500
 STRINGS = 20
 #: Characters of text in one batch of documents; one longer document makes a batch of its own.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 8_000_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -57,34 +56,44 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.after_space[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        #: By key: a word without the space it is led by, or a space and a piece of text as it stands.
+        self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, self.dtype) for found in
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words among those known."""
-        known, plain = self.known, list(filter(PLAIN.fullmatch, words))
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        if INNER_SPACE.search(text):
+            return [" " + part for part in WORD_START.split(text)]
+        keys = text.split(" ")
+        keys[0] = " " + keys[0]
+        return keys
+
+    def _learn(self, keys: list[str]) -> None:
+        """Put keys among those known."""
+        known, plain = self.known, list(filter(PLAIN.fullmatch, keys))
         for at in range(0, len(plain), STRING_WORDS * STRINGS):
             strings = [plain[k:k + STRING_WORDS]
                        for k in range(at, min(at + STRING_WORDS * STRINGS, len(plain)), STRING_WORDS)]
-            for own, ids in zip(strings, self._library(["".join(own) for own in strings])):
+            for own, ids in zip(strings, self._library([" " + " ".join(own) for own in strings])):
                 cuts = (np.flatnonzero(self.after_space[ids]) * ids.itemsize).tolist()
                 if len(cuts) != len(own):
                     raise ValueError("the tokenizer does not cut before every space")
                 data = ids.tobytes()
                 known.update(zip(own, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
-        other = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        other = list(set(keys).difference(plain)) if len(plain) < len(keys) else []
         for at in range(0, len(other), STRING_WORDS):
             own = other[at:at + STRING_WORDS]
-            known.update(zip(own, [ids.tobytes() for ids in self._library(own)]))
+            texts = [key[1:] if key[:1] == " " else " " + key for key in own]
+            known.update(zip(own, [ids.tobytes() for ids in self._library(texts)]))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
         texts = ["" if text is None else text for text in texts]
         whole = [self.added is not None and self.added.search(text) is not None for text in texts]
-        words = [[] if own else space_led_words(text) for text, own in zip(texts, whole)]
+        words = [[] if own else self._keys(text) for text, own in zip(texts, whole)]
         self._learn(list(set().union(*words) - self.known.keys()))
         get = self.known.__getitem__
         ids = [self._library([text])[0].tobytes() if own else b"".join(map(get, found))
