@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..outcome import NO_HISTORY, NO_X00, NOT_NUMERIC, outcome, results
-from ..timeline import HOUR_MS, Measure, block_of, range_max, recent, scan
+from ..timeline import Measure, last_up_to, range_max, recent, scan
 from .account import fresh
 
 if TYPE_CHECKING:
@@ -159,8 +159,9 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
 
     Value: the least number n of newest opposite payments in range whose sum is within tolerance of the target.
     Payments are ordered by (t_ms, e2e) and those up to the current millisecond take part; amounts are not negative.
-    No opposite flow: ``.x01``, no match ``.x03``. Sums only grow with n, so the match is found by looking up one position in the running sum: first the
-    time block (from the block starts inside the range), then the payment inside that block.
+    No opposite flow: ``.x01``, no match ``.x03``. Sums only grow with n, so the match is found by looking up one position
+    in the running sum: questions and payments are sorted by it in ranges of about equal rows, whatever their account or
+    hour, and the last payment up to a question answers it. A payment before the range is no match.
     """
     keys = ["tenant_id", "acct"]
     first = next(iter(docs.values()))["config"]["parameters"]
@@ -176,19 +177,9 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
     settled = pay.where("ok")
     line = scan(settled.select("tenant_id", F.inline(F.array(ask_cells, flow_cells))), keys, "t_ms",
                 [Measure("c", here=True), Measure("n", here=True), Measure("n_in", range_ms=range_ms)])
-    line = line.withColumn("block", block_of(F.col("t_ms"), HOUR_MS))
-    is_flow = F.col("n_here") > 0
     before = (F.col("c") - F.col("c_here")).cast(money)
-
-    starts = line.groupBy(*keys, "block").agg(
-        F.min(F.when(is_flow, F.struct(F.col("t_ms").alias("t"), before.alias("b")))).alias("start"))
-    reach = Window.partitionBy(*keys).orderBy("block").rangeBetween(-(range_ms // HOUR_MS + 1), 0)
-    starts = starts.select(*keys, "block", F.collect_list(F.when(F.col("start").isNotNull(), F.struct(
-        "block", F.col("start.t").alias("t"), F.col("start.b").alias("b")))).over(reach).alias("starts"))
-
     asks = (settled.withColumnRenamed(own, "acct").select(*keys, "t_ms", "e2e", "amt")
-            .join(line.select(*keys, "t_ms", "block", "c", "n", "n_in"), [*keys, "t_ms"])
-            .where("n_in > 0").join(starts, [*keys, "block"]))
+            .join(line.select(*keys, "t_ms", "c", "n", "n_in"), [*keys, "t_ms"]).where("n_in > 0"))
     per_rule = []
     for rule, doc in docs.items():
         params = doc["config"]["parameters"]
@@ -200,23 +191,19 @@ def _mirror(pay: DataFrame, docs: Mapping[str, dict], own: str, other: str) -> D
             F.lit(rule).alias("rule"),
             F.floor((F.col("c").cast(money) * flow_factor - low) / flow_factor, F.lit(2)).cast(money).alias("x"),
             high.cast("decimal(38,8)").alias("high"), flow_factor.cast("decimal(12,10)").alias("factor")))
-    asks = asks.select(*keys, "t_ms", "e2e", "c", "n", "starts", F.inline(F.array(*per_rule)))
-    reached = F.filter("starts", lambda s: (s["b"] < F.col("x")) | ((s["b"] == F.col("x")) & (s["t"] <= F.col("t_ms"))))
-    asks = asks.withColumn("block", F.array_max(reached)["block"]).drop("starts").where("block is not null")
+    asks = asks.select(*keys, "t_ms", "e2e", "c", "n", F.inline(F.array(*per_rule))).where("x is not null")
 
     within = Window.partitionBy(*keys, "t_ms").orderBy("e2e").rowsBetween(Window.unboundedPreceding, -1)
     flow = (settled.withColumnRenamed(other, "acct").select(*keys, "t_ms", "e2e", F.col("amt").cast(money).alias("a"))
             .where("acct is not null").select(*keys, "t_ms", "e2e", F.coalesce(F.sum("a").over(within), F.lit(0)).alias("a"),
                                               F.count("a").over(within).alias("k")))
-    lined = line.where(is_flow).select(*keys, "t_ms", "block", before.alias("b"), (F.col("n") - F.col("n_here")).alias("n0"))
+    lined = line.where("n_here > 0").select(*keys, "t_ms", before.alias("b"), (F.col("n") - F.col("n_here")).alias("n0"))
     at = (F.col("b") + F.col("a")).cast(money)
     items = flow.join(lined, [*keys, "t_ms"]).select(
-        *keys, "block", at.alias("x"), "t_ms", "e2e", F.lit(0).alias("kind"),
+        *keys, at.alias("x"), "t_ms", "e2e", F.lit(0).alias("kind"),
         F.struct(F.col("t_ms").alias("t"), at.alias("b"), (F.col("n0") + F.col("k")).alias("n")).alias("hit"))
     merged = items.unionByName(asks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    upto = (Window.partitionBy(*keys, "block").orderBy("x", "t_ms", "kind", "e2e")
-            .rowsBetween(Window.unboundedPreceding, 0))
-    hits = merged.withColumn("hit", F.last("hit", ignorenulls=True).over(upto)).where("kind = 1")
+    hits = last_up_to(merged, keys, ["x", "t_ms", "kind", "e2e"], "hit").where("kind = 1")
     summed = (F.col("c") - F.col("hit.b")).cast(money)
     match = (F.col("hit.t") >= F.col("t_ms") - range_ms) & (
         (summed * F.col("factor").cast("decimal(12,10)")).cast("decimal(38,8)") <= F.col("high"))

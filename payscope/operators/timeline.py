@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
 HOUR_MS = 3_600_000
 
 
@@ -218,3 +220,25 @@ def as_of(events: DataFrame, versions: DataFrame, keys: Sequence[str], time: str
                                                         F.lit(None).cast(steps.schema["version"].dataType).alias("version"))
     line = scan(asks.unionByName(steps), keys, time, [Measure("version", "max")])
     return events.join(line, [*keys, time], "left")
+
+
+def last_up_to(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` replaced by the last one that is not null among the rows of the same ``keys`` up to each row.
+
+    Rows are sorted by keys and order in ranges of about equal rows, so a hot key spreads over as many tasks as its rows
+    fill; a task looks back inside its range, and the last value of each range is carried over its border to rows of the
+    same keys. The carry is one row for each shuffle partition. The ranges are written once, because two runs of a range
+    exchange need not cut at the same rows; this runs a job. Rows without a complete key are left out; ties in ``order``
+    must be rows among which any may come first.
+    """
+    keys, order = list(keys), list(order)
+    given = rows.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    parted = staged(given.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = parted.groupBy("_part").agg(
+        F.max(F.when(F.col(value).isNotNull(), F.struct(*keys, *order, value))).alias("_end"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_part", F.last("_end", ignorenulls=True).over(earlier).alias("_end"))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(Column.__and__, [F.col(f"_end.{k}") == F.col(k) for k in keys])
+    found = F.coalesce(F.last(value, ignorenulls=True).over(inside), F.when(same, F.col(f"_end.{value}")))
+    return parted.join(F.broadcast(carry), "_part", "left").withColumn(value, found).drop("_part", "_end")

@@ -1,6 +1,7 @@
 """Rules 075 and 090 where one account, place or payer holds most rows: brute force, and work that does not multiply."""
 import math
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,44 @@ def test_payer_of_very_many(spark, monkeypatch):
     got = evaluate_rules(payments(spark, rows), [rule_config("090")]).where(f"e2e >= {n}").groupBy("value").count().collect()
     assert [(r["value"], r["count"]) for r in got] == [(float(n), n)]
     assert dict(listed)["upstream-payees"].count() == 0
+
+
+def brute_mirror(rows, rule):
+    """Values of a mirroring rule: the newest opposite payments are added up until they reach the amount."""
+    p = rule_config(rule)["config"]["parameters"]
+    kept, creditor = 1 - Decimal(str(p.get("commission", 0))), rule in ("024", "026")
+    slack, out = Decimal(str(p["tolerance"])), {}
+    for e, d, c, a, s in rows:
+        own, mine, theirs = (c, kept, 1) if creditor else (d, 1, kept)
+        flow = sorted(((t, f, Decimal(b)) for f, x, y, b, t in rows if (x if creditor else y) == own and t <= s), reverse=True)
+        low, high = (Decimal(a) * mine * (1 + sign * slack) for sign in (-1, 1))
+        total, out[e] = Decimal(0), None
+        for n, (t, _, b) in enumerate(flow, 1):
+            total += b
+            if total * theirs >= low:
+                if total * theirs <= high and (s - t) * 1000 <= p["maxQueryRange"]:
+                    out[e] = n
+                break
+    return out
+
+
+@pytest.mark.parametrize("rule", ["024", "025", "026", "027"])
+def test_mirroring_within_one_hour_of_one_account(spark, rule, monkeypatch):
+    """All payments of a hot account lie in one hour: exact by brute force, and its rows spread over the ranges."""
+    from payscope.operators import timeline
+    written = []
+    real = timeline.staged
+    monkeypatch.setattr(timeline, "staged", lambda rows, name: written.append(real(rows, name)) or written[-1])
+    rng = random.Random(int(rule))
+    rows = [(i, *rng.choice([(1, 2), (2, 1), (1, 3), (3, 1), (4, 5)]), rng.choice(["0.00", "10.00", "10.00", "20.00", "9.70", "31.05"]),
+             rng.randrange(0, 900)) for i in range(500)]
+    rows += [(500 + i, 1, 2, "20.00", 7 * 86_400 * i) for i in range(1, 4)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.e2e: r.value for r in evaluate_rules(payments(spark, rows), [rule_config(rule)]).collect()}
+        hot = [r["count"] for r in written[0].where("acct = 1").groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute_mirror(rows, rule)
+    assert got == want and sum(v is not None for v in want.values()) > 50
+    assert len(hot) >= 3 and max(hot) < 0.5 * sum(hot)
