@@ -1,7 +1,10 @@
 """Operators over documents against brute force."""
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -99,6 +102,68 @@ def test_next_document_by_key(spark, edge_docs, no_docs):
     assert piecewise.compared_with_edit_and_next(no_docs).count() == 0
 
 
+def plain_fingerprint(text):
+    """One byte after the other: the hash of the last seven bytes rolls on, and a piece ends where its block size says."""
+    data, rolled, mixed = text.encode("utf-8", "surrogatepass"), 0, []
+    for i, byte in enumerate(data):
+        rolled = (rolled * 0x01000193 + byte) % 2 ** 32
+        if i >= 7:
+            rolled = (rolled - data[i - 7] * pow(0x01000193, 7, 2 ** 32)) % 2 ** 32
+        h = (rolled ^ rolled >> 15) * 0x85EBCA6B % 2 ** 32
+        mixed.append(h ^ h >> 13)
+
+    def pieces(block):
+        found, piece = [], b""
+        for i, h in enumerate(mixed):
+            piece += data[i:i + 1]
+            if h % block == block - 1:
+                found.append(piece)
+                piece = b""
+        return found, [piece] if piece else []
+
+    block = 3
+    while len(pieces(block)[0]) > 64:
+        block *= 2
+    signs = ["".join(piecewise.ALPHABET[zlib.crc32(x) // 32 % 64] for x in sum(pieces(b), [])) for b in (block, 2 * block)]
+    return f"{block}:{signs[0]}:{signs[1]}"
+
+
+def plain_likeness(a, b):
+    def alike(s, t):
+        line = list(range(len(t) + 1))
+        for i, x in enumerate(s, 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(t, 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        return 1.0 - line[-1] / max(len(s), len(t)) if s or t else 1.0
+
+    (p, *first), (q, *second) = a.split(":"), b.split(":")
+    if p == q:
+        return max([alike(first[0], second[0])] + [alike(first[1], second[1])] * (min(len(first[1]), len(second[1])) > 1))
+    if int(p) == 2 * int(q):
+        return alike(first[0], second[1])
+    return alike(first[1], second[0]) if 2 * int(p) == int(q) else 0.0
+
+
+def test_fingerprints_by_brute_force(spark):
+    """The whole query against a rolling hash byte by byte and a plain edit distance."""
+    texts = sorted(pairs(spark.read.parquet(f"{TESTDATA}/documents.parquet")))
+    got = {r.doc_id: r for r in queries.piecewise_fingerprints(spark, str(TESTDATA)).collect()}
+    assert set(got) == {k for k, _ in texts}
+    own = {k: plain_fingerprint(t or "") for k, t in texts}
+    for (key, text), (after, following) in zip(texts, texts[1:] + texts[:1]):
+        text, following = text or "", following or ""
+        changed = text[:len(text) - len(text) // 4] + following[:len(text) // 4]
+        print_, r = plain_fingerprint(changed), got[key]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), own[key], print_)
+        assert r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert math.isclose(r.near_edited, plain_likeness(own[key], print_), abs_tol=1e-12)
+        assert math.isclose(r.near_next, plain_likeness(own[key], own[after]), abs_tol=1e-12)
+    for text in NASTY:
+        if len(text) < 10_000:
+            assert piecewise.fingerprint(text) == plain_fingerprint(text)
+
+
 # masked pseudo-likelihood
 
 def test_counts_and_scores(spark, edge_docs, no_docs):
