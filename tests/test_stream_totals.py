@@ -60,3 +60,21 @@ def test_late_payments_renew_the_totals(spark, batches, tmp_path):
     assert of(got, rest) == of(want, rest)
     before = evaluate_rules(early.unionByName(late).drop("slice"), docs)
     assert of(got, late) == of(before, late)
+
+
+def test_tables_are_kept_for_the_rules_at_hand(spark, batches, tmp_path):
+    """A stream of bounded rules keeps no totals; a rule that is added later finds its totals made from all history."""
+    rules = ["901", "902"]
+    ev = StreamEvaluator(str(tmp_path), lambda: [rule_config(r) for r in rules], lambda: [])
+    ev(batches.where("slice < 2").drop("slice"), 0)
+    ev(batches.where("slice = 2").drop("slice"), 1)
+    log = spark.read.parquet(f"{tmp_path}/closed").orderBy("batch_id").collect()
+    assert log[-1]["closed"] > log[0]["closed"] and log[-1]["held"] == [] and not (tmp_path / "kept").exists()
+    rules += ["006", "018", "044", "048", "083"]
+    ev(batches.where("slice = 4").drop("slice"), 2)
+    last = batches.where("slice = 3")
+    ev(last.drop("slice"), 3)
+    got = spark.read.parquet(f"{tmp_path}/results").where("batch_id = 3").select(*COLUMNS)
+    want = (evaluate_rules(batches.drop("slice"), [rule_config(r) for r in rules])
+            .join(last.select("tenant_id", "e2e"), ["tenant_id", "e2e"], "left_semi").select(*COLUMNS))
+    assert rows_of(got) == rows_of(want)
