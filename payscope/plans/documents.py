@@ -26,9 +26,13 @@ def _words(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def doc_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings (term, doc_id, tf) with the term's document frequency."""
+    """Postings (term, doc_id, tf) with the term's document frequency.
+
+    The frequency counts postings by ``tf``, which every one has: with the same columns both uses of the postings share one
+    shuffle, where a plain count would make Spark read and shuffle all texts again without it.
+    """
     postings = _words(docs, doc, text).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return postings.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    return postings.join(postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df")), "term")
 
 
 def write_index(docs: DataFrame, doc: str, text: str, folder: str) -> None:
