@@ -188,17 +188,23 @@ def case_lifecycle(log: DataFrame) -> DataFrame:
             .agg(F.max(F.struct("seq", "state"))["state"].alias("state")))
     days = staged(days, "case-days")
     at = F.struct("t_ms", "state").alias("last")
-    line = scan(days.select("case_id", "t_ms", F.lit(True).alias("real"), at), ["case_id"], "t_ms", [Measure("last", "max")],
-                block_ms=64 * DAY_MS)
-    known = days.join(line, ["case_id", "t_ms"])
-    begins = F.col("last").isNull() | (F.col("last.state") != F.col("state"))
-    stays = known.groupBy("state").agg(
-        F.count(F.when(begins, 1)).alias("stays"), F.countDistinct("case_id").alias("cases"),
-        F.count(F.when(begins & (F.col("last.state") == "closed"), 1)).alias("from_closed"))
-    spent = known.where("last is not null").groupBy(F.col("last.state").alias("state")).agg(
-        F.sum(((F.col("t_ms") - F.col("last.t_ms")) / DAY_MS).cast("bigint")).alias("days"))
-    now = days.groupBy("case_id").agg(F.max_by("state", "t_ms").alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("cases_now"))
-    return stays.join(spent, "state", "left").join(now, "state", "left").na.fill(0)
+    line = scan(days.select("case_id", "t_ms", F.lit(True).alias("real"), at), ["case_id"], "t_ms",
+                [Measure("last", "max", here=True)], block_ms=64 * DAY_MS)
+    # a few rows, one for each pair of states that follow each other, hold all that is counted over moments
+    known = line.select(F.col("last_here.state").alias("state"), F.col("last.state").alias("was"),
+                        ((F.col("t_ms") - F.col("last.t_ms")) / DAY_MS).cast("bigint").alias("days"))
+    steps = known.groupBy("state", "was").agg(F.count(F.lit(1)).alias("n"), F.sum("days").alias("days"))
+    begins = F.col("was").isNull() | (F.col("was") != F.col("state"))
+    by_case = days.groupBy("case_id").agg(F.collect_set("state").alias("states"), F.max_by("state", "t_ms").alias("now"))
+    cases = by_case.select("now", F.explode("states").alias("state")).groupBy("state").agg(
+        F.count(F.lit(1)).alias("cases"), F.count(F.when(F.col("now") == F.col("state"), 1)).alias("cases_now"))
+    moves = steps.select(F.inline(F.array(
+        F.struct("state", F.when(begins, F.col("n")).alias("stays"), F.when(begins & (F.col("was") == "closed"), F.col("n"))
+                 .alias("from_closed"), F.lit(None).cast("bigint").alias("days")),
+        F.struct(F.col("was").alias("state"), F.lit(None).cast("bigint").alias("stays"),
+                 F.lit(None).cast("bigint").alias("from_closed"), "days"))))
+    counts = moves.groupBy("state").agg(*[F.sum(c).alias(c) for c in ("stays", "from_closed", "days")])
+    return cases.join(counts, "state").select("state", "stays", "cases", "from_closed", "days", "cases_now").na.fill(0)
 
 
 def transaction_graph(pay: DataFrame) -> DataFrame:
