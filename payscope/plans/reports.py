@@ -224,8 +224,8 @@ def transaction_graph(pay: DataFrame) -> DataFrame:
 
 def alert_history(pay: DataFrame, status: DataFrame) -> DataFrame:
     """Alerted payments per debtor account in time order with the account's alerts so far."""
-    alerts = (pay.select("tenant_id", "e2e", "t_ms", F.col("dbtr_acct").alias("account"))
-              .join(status.where(F.col("status") == "ALRT").select("tenant_id", "e2e"), ["tenant_id", "e2e"]))
+    alerts = staged(pay.select("tenant_id", "e2e", "t_ms", F.col("dbtr_acct").alias("account"))
+                    .join(status.where(F.col("status") == "ALRT").select("tenant_id", "e2e"), ["tenant_id", "e2e"]), "alerts")
     rows = alerts.select("tenant_id", "account", "t_ms", F.lit(True).alias("real"), F.lit(1).cast("bigint").alias("alerts_so_far"))
     return alerts.join(scan(rows, ["tenant_id", "account"], "t_ms", [Measure("alerts_so_far")]),
                        ["tenant_id", "account", "t_ms"])
